@@ -16,7 +16,7 @@ TRAIN_DOCS, WORDS = 3000, 2048
 LEAST_DOCS = 5
 TARGETS = {"good": 0.90, "poor": 0.09, "toxic": 0.01}
 MAX_RATE = 8.0
-STEPS, TOLERANCE = 60, 1e-4
+STEPS, TOLERANCE = 40, 1e-3
 
 _MARK = np.zeros(256, np.uint64)  # values of bytes that are neither letters nor digits
 for _b in range(33, 127):
@@ -176,9 +176,17 @@ def _rate(moves: np.ndarray, most: float) -> Column:
     return F.aggregate(steps, r, lambda s, m: F.greatest(F.lit(0.0), F.least(F.lit(most), s - dot(m))))
 
 
-def _totals(member: DataFrame, weight: Column, n: int) -> np.ndarray:
-    got = member.agg(*[F.sum(weight * F.col("tokens") * F.col("posterior")[i]) for i in range(n)]).first()
-    return np.array([x or 0.0 for x in got])
+def _state(member: DataFrame, rate: Column, n: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The domains' expected tokens, and their Gram matrix over the documents whose rate is at no bound."""
+    at = [F.col("tokens") * F.col("posterior")[i] for i in range(n)]
+    free = (F.col("r") > 0) & (F.col("r") < most)
+    upper = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = [F.sum(F.col("r") * x) for x in at] + [F.sum(F.when(free, at[i] * at[j])) for i, j in upper]
+    got = [x or 0.0 for x in member.select("tokens", "posterior", rate.alias("r")).agg(*sums).first()]
+    gram = np.zeros((n, n))
+    for (i, j), v in zip(upper, got[n:]):
+        gram[i, j] = gram[j, i] = v
+    return np.array(got[:n]), gram
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", total: float | None = None, max_rate: float = MAX_RATE) -> DataFrame:
@@ -191,7 +199,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], doc_id: s
     A classifier fitted on labelled documents gives each document a posterior over domains. The rates solve a
     least-squares problem over all documents: the sum of rate * tokens * posterior should be the target of each
     domain. Projected gradient steps start from rate 1; errors are weighted by the inverse of the domains' Gram
-    matrix, which makes the unit step right. A step is one number for each domain, so a document's rate follows
+    matrix over the documents that aren't at a bound, which makes the unit step right; a step that brings
+    nothing is followed by shorter ones. A step is one number for each domain, so a document's rate follows
     from its own row and the list of steps: each step is one aggregation over a compact table, and nothing else
     comes to the driver. total is the number of tokens wanted; by default the domain with the largest target
     keeps its tokens.
@@ -213,23 +222,20 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], doc_id: s
     n = len(domains)
     share = np.array([targets.get(k, 0.0) for k in domains])
     share = share / share.sum()
-    now = _totals(member, F.lit(1.0), n)
+    now, gram = _state(member, F.lit(1.0), n, max_rate)
     moves = np.zeros((0, n))
     if now.sum() > 0:
         wanted = share * (total if total is not None else now[share.argmax()] / share.max())
-        t2 = F.col("tokens").cast("double") * F.col("tokens")
-        upper = [(i, j) for i in range(n) for j in range(i, n)]
-        got = member.agg(*[F.sum(t2 * F.col("posterior")[i] * F.col("posterior")[j]) for i, j in upper]).first()
-        gram = np.zeros((n, n))
-        for (i, j), v in zip(upper, got):
-            gram[i, j] = gram[j, i] = v or 0.0
-        inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) / n * np.eye(n))
+        step, best = 1.0, np.inf
         for _ in range(STEPS):
             error = now - wanted
-            if np.abs(error).max() <= TOLERANCE * wanted.sum():
+            size = np.abs(error).max()
+            if size <= TOLERANCE * wanted.sum() or not gram.any():
                 break
-            moves = np.vstack([moves, inverse @ error])
-            now = _totals(member, _rate(moves, max_rate), n)
+            step, best = (step, size) if size < best else (step / 2, best)
+            inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) / n * np.eye(n))
+            moves = np.vstack([moves, step * (inverse @ error)])
+            now, gram = _state(member, _rate(moves, max_rate), n, max_rate)
     chance = F.pmod(F.xxhash64("doc_id", "tkey", F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     out = member.withColumn("rate", _rate(moves, max_rate))
     return out.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
