@@ -219,7 +219,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), row_key(F.col(text)).alias("tkey"), F.col(text).alias("text"))
     all_segments = rows.mapInArrow(_segmenter(window, None), _SEGMENT)
-    shared = all_segments.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
+    shared = all_segments.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    shared = written(shared.select("anchor"), "shared")  # a table of its own, so that the join can split a hot anchor
     segments = written(all_segments.join(shared, "anchor", "left_semi").select("id", "tkey", "start", "n_win", "anchor", "c1", "c2"), "segments")
 
     first = F.min(F.struct("id", "tkey", "start")).alias("first")
