@@ -162,7 +162,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rar
     by_doc = lines.groupBy("line", "doc").agg(F.min(F.struct("id", "tkey")).alias("first"), F.max("id").alias("last"))
     stats = by_doc.groupBy("line").agg(F.min("first").alias("owner"), F.max("last").alias("last"), F.count("*").alias("n")).where("owner.id < last")
     rarity = F.when(F.col("n") <= 2, F.lit(max(rare_bits, total))).otherwise(F.greatest(F.lit(0.0), F.lit(total) - F.log2("n")))
-    stats = stats.select("line", "owner", rarity.alias("rarity"))
+    stats = written(stats.select("line", "owner", rarity.alias("rarity")), "lines")  # so that the join can split a hot line
     shared = written(lines.join(stats, "line").select("id", "tkey", "ordinal", "place", "line", "owner", "rarity"), "shared")
 
     own = shared.where("owner.id < id").groupBy("id", "tkey", "owner", "line").agg(F.max("rarity").alias("rarity"))
