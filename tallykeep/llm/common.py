@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in blocks of about so many bytes, which bounds the memory of a Python worker.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _serial = itertools.count()
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -71,6 +71,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Let Arrow batches hold at most so many rows and bytes, whatever the length of texts: it bounds what both the
+    JVM and the Python workers hold at once. Smaller settings of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None) or "-1"
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

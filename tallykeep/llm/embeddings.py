@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bound_batches, written
 from .components import connected_components
 
 COSINE = 0.98
@@ -190,6 +190,7 @@ def embedding_groups(vectors: DataFrame, vec_id: str = "vec_id", embedding: str
     component nor place (kept is false). Rows that repeat an id count as vectors of their own. Other columns are
     ignored.
     """
+    bound_batches(vectors.sparkSession)
     vec = F.col(embedding)
     sound = F.col(label).isNotNull() & F.col(vec_id).isNotNull() & F.coalesce(F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(vec, lambda v: v != 0), F.lit(False))
     rows = vectors.select(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, written
+from .common import BLOCK_BYTES, bound_batches, written
 
 #: Bounds of the sample that the model is fitted on: languages, labelled rows of all together, landmarks of all together.
 MAX_LANGUAGES, TRAIN_ROWS, LANDMARKS = 256, 8192, 256
@@ -211,6 +211,7 @@ def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     not held out and not learned from. The score is the winning output, from -1 to 1, brought to 0 to 1.
     Repeated rows get equal answers. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, doc_id, text, lang))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")

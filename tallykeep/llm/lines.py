@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, text_buffers, written
+from .common import bound_batches, row_key, text_buffers, written
 
 #: Rarity, in bits, that shared lines need together: that of one line in a hundredth of all documents.
 RARE_BITS = math.log2(100)
@@ -153,6 +153,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rar
     are not earlier than one another; a row without an id comes after all others. Lines are compared by 64-bit
     hashes, byte for byte. An input column named like an added one is replaced.
     """
+    bound_batches(docs.sparkSession)
     added = ["n_lines", "n_removed", "n_partners"]
     docs = docs.drop(*added)
     keyed = docs.select("*", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), row_key(F.col(text)).alias("_tkey"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, _span_hashes, blocks, long_cuts, split_words, text_buffers, written
+from .common import BLOCK_BYTES, _span_hashes, blocks, bound_batches, long_cuts, split_words, text_buffers, written
 
 #: Bounds of what the classifier is fitted on: labelled documents of each domain, and words.
 TRAIN_DOCS, WORDS = 3000, 2048
@@ -65,10 +65,12 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in blocks(off):
             tok, first = tokens(data, off[lo : hi + 1])
             text = np.repeat(np.arange(hi - lo), np.diff(first))
-            pair = np.stack([np.repeat(text, 2).astype(np.uint64), tok.ravel()], 1)
-            pair = np.unique(pair[pair[:, 1] != 0], axis=0)
-            of = batch.column(0).slice(lo, hi - lo).take(pa.array(pair[:, 0].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([of, pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64))], ["domain", "token"])
+            text, token = np.repeat(text, 2), tok.ravel()
+            order = np.lexsort((token, text))
+            text, token = text[order], token[order]
+            new = np.concatenate([[True], (text[1:] != text[:-1]) | (token[1:] != token[:-1])])[: len(text)] & (token != 0)
+            of = batch.column(0).slice(lo, hi - lo).take(pa.array(text[new]))
+            yield pa.RecordBatch.from_arrays([of, pa.array(token[new].view(np.int64))], ["domain", "token"])
 
 
 def _training(vocabulary):
@@ -210,6 +212,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], doc_id: s
     that are null or of unknown documents teach nothing. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     domains, model = train(docs, labels, doc_id, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tkey"), F.col(text).alias("text"))
     if not domains:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import BLOCK_BYTES, blocks, text_buffers, written
+from .common import BLOCK_BYTES, blocks, bound_batches, text_buffers, written
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -274,6 +274,7 @@ def pack_documents(
     rows give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int" + ", ids binary" * with_ids

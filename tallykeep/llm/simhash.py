@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, long_cuts, text_buffers, written
+from .common import blocks, bound_batches, long_cuts, text_buffers, written
 from .components import connected_components
 
 #: Shingles are hashed in slices of so many, which bounds memory for very long texts.
@@ -134,6 +134,7 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     its fingerprint and the component of the rows with an id that share that fingerprint, else null.
     Copies collapse to one representative first, so a group of copies is one node. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     pair = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     fps = written(pair.mapInArrow(_fingerprints, "id long, fp long"), "fingerprints")
     reps = written(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "representatives")

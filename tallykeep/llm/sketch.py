@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, _span_hashes, mix64, range_hashes, shuffle_partitions, split_words
+from .common import BLOCK_BYTES, _span_hashes, bound_batches, mix64, range_hashes, shuffle_partitions, split_words
 
 #: Cells of a fingerprint, in three parts; one hash function for each.
 CELLS = 30
@@ -221,6 +221,7 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("at"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = shuffle_partitions(spark)
     bounds = np.unique(np.array(rows.select("at").approxQuantile("at", [i / n for i in range(1, n)], 0.2 / n), float)).astype(np.int64) if n > 1 else np.zeros(0, np.int64)

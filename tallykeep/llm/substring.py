@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import (
     BLOCK_BYTES,
     blocks,
+    bound_batches,
     gram_hashes,
     long_cuts,
     range_hashes,
@@ -30,7 +31,7 @@ NO_ID = np.iinfo(np.int64).max
 #: Words of an anchor; a window of 50 words holds 31 of them, the smallest of which by hash leads the window to its shard.
 ANCHOR_WORDS = 20
 #: Words that one shard's index is planned for.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Anchors with more than max(HOT_LEAST, segments / HOT_PART) different segments are hot; so there are HOT_PART at most.
 HOT_LEAST, HOT_PART = 512, 100_000
 
@@ -184,7 +185,7 @@ def _removal(window: int):
                     n += len(words)
                 rows.append((b" ".join(kept), n, [{"start": s, "end": e} for s, e in spans]))
                 size += len(text)
-                if size > 2 * BLOCK_BYTES or i + 1 == len(batch):
+                if size > 4 * BLOCK_BYTES or i + 1 == len(batch):
                     yield _rows(batch.column(0).slice(lo, i + 1 - lo), rows)
                     lo, rows, size = i + 1, [], 0
 
@@ -217,6 +218,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not ANCHOR_WORDS <= window < 256:
         raise ValueError(f"window must be {ANCHOR_WORDS} to 255")
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), row_key(F.col(text)).alias("tkey"), F.col(text).alias("text"))
     all_segments = rows.mapInArrow(_segmenter(window, None), _SEGMENT)
     shared = all_segments.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")

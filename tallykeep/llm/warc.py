@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import bound_batches, new_path
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads of at least so many bytes become revisits of an equal one.
@@ -69,6 +69,7 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
     digests are grouped; the payloads move once, by page_id. Spark's text writer puts the members' bytes out as
     they are: the byte that ends its lines is the last of each member, which is zero.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("html"))
     ids = rows.where(F.octet_length("html") >= revisit_bytes).select("page_id", F.sha1("html").alias("digest"))
     most = ids.groupBy("digest").agg(F.max("page_id").alias("to"), F.count("*").alias("n")).where("n > 1 and to is not null")
@@ -213,6 +214,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     range. Archives must not be named .gz, for then the scan would decode them whole. No archives give no rows;
     a member that can't be decoded raises.
     """
+    bound_batches(spark)
     raw = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
     raw = raw.select(F.col("value").cast("binary").alias("v"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
     whole = raw.mapInArrow(_scan(False), _RECORD)
