@@ -24,7 +24,7 @@ ANONYMOUS_TX = "__anonymous_tx__"
 RECORD_SCHEMA = V.EVENT_SCHEMA + ", record_kind string, expected_events long, column_types map<string,string>, lsn string, error string"
 _DDL = re.compile(r"\b(?:ALTER|CREATE|DROP|TRUNCATE)\s+TABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?(?:ONLY\s+)?([\w.\"`\[\]]+)", re.IGNORECASE)
 _OPS = {"c": "INSERT", "r": "INSERT", "u": "UPDATE", "d": "DELETE", "t": "TRUNCATE", "I": "INSERT", "U": "UPDATE", "D": "DELETE", "T": "TRUNCATE"}
-_NUMERIC = ("int", "serial", "numeric", "decimal", "money", "int2", "int4", "int8")
+_WHOLE = re.compile(r"(?:^|big|small|tiny|medium)int(?:eger)?\d*$|serial")
 
 
 def unavailable(value) -> bool:
@@ -44,7 +44,7 @@ def coerce(value, kind: str = ""):
                 return float(value)
             if "decimal" in kind or "numeric" in kind or "money" in kind:
                 return Decimal(value)
-            if any(kind.startswith(x) for x in _NUMERIC):
+            if _WHOLE.search(kind):
                 return int(value)
         except (ValueError, ArithmeticError):
             return value
