@@ -88,6 +88,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def packed_row(df: DataFrame) -> Column:
+    """All columns of df in one struct, so that the names of helper columns can't clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def words_of(text: str) -> str:
     """SQL for the words of a text column: runs of bytes other than the six ASCII white-space characters."""
     return f"filter(split(coalesce({text}, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')"

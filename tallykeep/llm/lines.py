@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, row_key, text_buffers, written
+from .common import bound_batches, packed_row, row_key, text_buffers, written
 
 #: Rarity, in bits, that shared lines need together: that of one line in a hundredth of all documents.
 RARE_BITS = math.log2(100)
@@ -156,9 +156,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rar
     bound_batches(docs.sparkSession)
     added = ["n_lines", "n_removed", "n_partners"]
     docs = docs.drop(*added)
-    keyed = docs.select("*", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), row_key(F.col(text)).alias("_tkey"))
-    lines = keyed.select(F.col("_id").alias("id"), F.col("_tkey").alias("tkey"), F.col(text).alias("text"))
-    lines = lines.mapInArrow(_lines, "id long, tkey long, ordinal int, place int, line long, doc long")
+    keyed = docs.select(packed_row(docs), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), row_key(F.col(text)).alias("tkey"))
+    lines = keyed.select("id", "tkey", F.col("row")[text].alias("text")).mapInArrow(_lines, "id long, tkey long, ordinal int, place int, line long, doc long")
     total = math.log2(max(2, docs.count()))
     by_doc = lines.groupBy("line", "doc").agg(F.min(F.struct("id", "tkey")).alias("first"), F.max("id").alias("last"))
     stats = by_doc.groupBy("line").agg(F.min("first").alias("owner"), F.max("last").alias("last"), F.count("*").alias("n")).where("owner.id < last")
@@ -176,12 +175,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rar
     both = pairs.join(texts, ["id", "tkey"]).join(early, ["id0", "tkey0"]).select("id", "tkey", "early", "late")
     gone = both.mapInArrow(_align(rare_bits), "id long, tkey long, gone array<int>").where("size(gone) > 0")
     gone = gone.groupBy("id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"), F.count("*").alias("n_partners"))
-    gone = gone.select(F.col("id").alias("_id0"), F.col("tkey").alias("_tkey0"), "_gone", "n_partners")
-    out = keyed.join(gone, (F.col("_id") == F.col("_id0")) & (F.col("_tkey") == F.col("_tkey0")), "left")
-    n_lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    new = F.pandas_udf(_without_lines, "string")(F.col(text), F.col("_gone"))
+    out = keyed.join(gone, ["id", "tkey"], "left")
+    whole = F.col("row")[text]
+    n_lines = F.size(F.filter(F.split(F.coalesce(whole, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    new = F.pandas_udf(_without_lines, "string")(whole, F.col("_gone"))
     return out.select(
-        *[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+        *[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns],
         n_lines.cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_partners", F.lit(0)).cast("long").alias("n_partners"),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, _span_hashes, blocks, bound_batches, long_cuts, split_words, text_buffers, written
+from .common import BLOCK_BYTES, _span_hashes, blocks, bound_batches, long_cuts, packed_row, row_key, split_words, text_buffers, written
 
 #: Bounds of what the classifier is fitted on: labelled documents of each domain, and words.
 TRAIN_DOCS, WORDS = 3000, 2048
@@ -263,7 +263,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     domains = label_domains(labels)
     present = {r[0] for r in domains.select("domain").distinct().collect()}
     of = mix(docs, domains, {k: v for k, v in TARGETS.items() if k in present})
-    of = of.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), "copies").distinct()
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    both = docs.withColumn("_key", key).join(of, F.expr("doc_id <=> _id and _key = _tkey")).where("copies > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    of = of.select("doc_id", "tkey", "copies").where("copies > 0").distinct()
+    rows = docs.select(packed_row(docs), F.col("doc_id").cast("long").alias("id"), row_key(F.col("text")).alias("key"))
+    both = rows.join(of, F.expr("id <=> doc_id and key = tkey"))
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

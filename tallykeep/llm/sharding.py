@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed_row, written
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 16 << 20
@@ -103,9 +103,9 @@ def assign_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
 
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Write the documents with one folder for each shard (depth=, prefix=, page=)."""
-    of = assign_shards(docs, doc_id, text, limit).select(F.col("doc_id").alias("_id"), "depth", "prefix", "page").distinct()
-    both = docs.join(of, F.expr(f"{doc_id} <=> _id")).drop("_id")
+    """Write the documents with one folder for each shard (depth=, prefix=, page=). Rows of one id go together."""
+    of = assign_shards(docs, doc_id, text, limit).select("doc_id", "depth", "prefix", F.min("page").over(Window.partitionBy("doc_id")).alias("page")).distinct()
+    both = docs.select(packed_row(docs), F.col(doc_id).alias("id")).join(of, F.expr("id <=> doc_id")).select("row.*", "depth", "prefix", "page")
     both.repartition("depth", "prefix", "page").write.partitionBy("depth", "prefix", "page").parquet(path)
 
 

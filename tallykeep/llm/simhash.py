@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bound_batches, long_cuts, text_buffers, written
+from .common import blocks, bound_batches, long_cuts, packed_row, text_buffers, written
 from .components import connected_components
 
 #: Shingles are hashed in slices of so many, which bounds memory for very long texts.
@@ -150,5 +150,6 @@ def simhash_query(docs: DataFrame) -> DataFrame:
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """The documents that stand for their group, one row each, with the columns of docs."""
-    keep = simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs.doc_id == keep["_kept"]).drop("_kept").dropDuplicates(["doc_id"]).select(*docs.columns)
+    keep = simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), packed_row(docs))
+    return rows.join(keep, "id").dropDuplicates(["id"]).select("row.*")
