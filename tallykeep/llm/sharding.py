@@ -31,34 +31,34 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
 
     A bucket is the hashes with some prefix. It stays whole if its bytes are within the limit, and else splits
     on the next bit. Each pass sums the sizes by a prefix some levels below the buckets still too large, adds
-    those sums up to every level between, and takes for each hash the shallowest level that fits. What is too
-    large at the last bit is one key's rows; it keeps the full depth. Nothing of it is on the driver.
+    those sums up to every level between, and takes for each hash the shallowest level that fits. A bucket that
+    is too large and has one key alone can't be split; it takes the full depth. Nothing of it is on the driver.
     """
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     above, depth = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + LEVELS)
     rest, leaves = sizes, None
     while True:
-        low = rest.groupBy(_prefix(F.col("h"), depth).alias("low")).agg(F.sum("bytes").alias("bytes"))
+        low = rest.groupBy(_prefix(F.col("h"), depth).alias("low")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("keys"), F.min("h").alias("key"))
         low = written(low, "prefixes")
         up = low.select("low", "bytes", F.explode(F.sequence(F.lit(above), F.lit(depth))).alias("depth"))
         up = up.withColumn("prefix", F.call_function("shiftright", F.col("low"), (F.lit(depth) - F.col("depth")).cast("int")))
         fits = up.groupBy("depth", "prefix").agg(F.sum("bytes").alias("total")).where(F.col("total") <= limit)
         best = up.join(fits, ["depth", "prefix"]).groupBy("low").agg(F.min(F.struct("depth", "prefix", "total")).alias("b"))
         low = low.join(best, "low", "left")
-        done = low.where("b is not null" if depth < BITS else "true")
+        done = low.where("b is not null or keys = 1")
         shift = F.lit(BITS - depth)
         done = done.select(
             F.call_function("shiftleft", F.col("low"), shift).alias("low"),
             F.lit(depth).alias("at"),
-            F.coalesce("b.depth", F.lit(depth)).alias("depth"),
-            F.coalesce("b.prefix", "low").alias("prefix"),
+            F.coalesce("b.depth", F.lit(BITS)).alias("depth"),
+            F.coalesce("b.prefix", "key").alias("prefix"),
             F.coalesce("b.total", "bytes").alias("bytes"),
         )
         done = written(done, "leaves")
         leaves = done if leaves is None else leaves.union(done)
         if depth == BITS:
             return leaves
-        large = low.where("b is null").select(F.col("low").alias("_low"))
+        large = low.where("b is null and keys > 1").select(F.col("low").alias("_low"))
         if large.isEmpty():
             return leaves
         rest = written(rest.join(large, _prefix(F.col("h"), depth) == F.col("_low"), "left_semi"), "rest")

@@ -84,24 +84,22 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
 # ---------------------------------------------------------------- reading
 
 
-def _decode(data: bytes) -> tuple[str, bytes]:
-    """('whole' | 'part' | 'bad', what it decodes to)."""
-    z = zlib.decompressobj(31)
-    try:
-        got = z.decompress(data)
-    except zlib.error:
-        return "bad", b""
-    if not z.eof:
-        return ("part" if b"WARC/1."[: len(got)] == got[:7] else "bad"), got
-    while z.unused_data:  # more members, as after a large one
-        rest, z = z.unused_data, zlib.decompressobj(31)
+def _decode(data: bytes) -> tuple[str, list[bytes]]:
+    """('whole' | 'part' | 'bad', what each of its members decodes to)."""
+    out: list[bytes] = []
+    while data:
+        z = zlib.decompressobj(31)
         try:
-            got += z.decompress(rest)
+            got = z.decompress(data)
         except zlib.error:
-            return "bad", b""
+            return "bad", out
+        if got[:7] != b"WARC/1."[: len(got)]:
+            return "bad", out
         if not z.eof:
-            return "part", got
-    return ("whole" if not got or got.startswith(b"WARC/1.") else "bad"), got
+            return "part", out
+        out.append(got)
+        data = z.unused_data
+    return "whole", out
 
 
 def parse_record(data: bytes) -> tuple | None:
@@ -166,9 +164,9 @@ def _scan(fragments: bool):
                 kind, got = _decode(data)
                 if kind == "whole":
                     held = b""
-                    if not fragments and (row := parse_record(got)):
-                        rows.append(row)
-                        size += len(got)
+                    if not fragments:
+                        rows += filter(None, map(parse_record, got))
+                        size += sum(map(len, got))
                 elif kind == "part":
                     held = data
                 elif held:
@@ -197,8 +195,7 @@ def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, got = _decode(held)
         if kind == "whole":
             held = b""
-            if row := parse_record(got):
-                rows.append(row)
+            rows += filter(None, map(parse_record, got))
         elif kind == "bad":
             raise ValueError(f"{r['path']}: a member near byte {r['start']} can't be decoded")
     if held:
