@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bound_batches, long_cuts, packed_row, text_buffers, written
+from .common import blocks, bound_batches, long_cuts, packed_row, row_key, text_buffers, written
 from .components import connected_components
 
 #: Shingles are hashed in slices of so many, which bounds memory for very long texts.
@@ -55,7 +55,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo, hi in blocks(off):
             for i in range(lo, hi):
                 out[i] = fingerprint(bytes(raw[off[i] : off[i + 1]]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out)], ["id", "tkey", "fp"])
 
 
 def embedding(fp: Column) -> Column:
@@ -87,7 +87,7 @@ def _signed(x: int) -> int:
 def _cells(reps: DataFrame, choices: list[tuple[int, int]]) -> DataFrame:
     """A row for each fingerprint and choice of coordinates: the grid cell is those coordinates of the embedding."""
     keys = F.array(*[F.struct(F.lit(i).alias("pick"), embedding(F.col("fp")).bitwiseAND(F.lit(_signed(m))).alias("at")) for i, (m, _) in enumerate(choices)])
-    return reps.select("fp", "rep", F.explode(keys).alias("cell")).select("fp", "rep", "cell.pick", "cell.at")
+    return reps.select("fp", F.explode(keys).alias("cell")).select("fp", "cell.pick", "cell.at")
 
 
 def _links(cells: DataFrame, on: list[str]) -> DataFrame:
@@ -97,11 +97,11 @@ def _links(cells: DataFrame, on: list[str]) -> DataFrame:
     for c in on:
         same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     near = (manhattan(embedding(x), embedding(y)) <= MAX_BITS) & (F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS)
-    return a.join(b, same & (x < y) & near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    return a.join(b, same & (x < y) & near).select(x.alias("a"), y.alias("b"))
 
 
 def fingerprint_links(reps: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links (a, b) between representatives of distinct fingerprints (fp, rep) at MAX_BITS or fewer differing bits.
+    """Links (a, b) between distinct fingerprints (fp) at MAX_BITS or fewer differing bits.
 
     Fingerprints become points of 32 segment popcounts. If two points are within Manhattan distance 2, then of
     four blocks of coordinates two at least are equal; so each of the six pairs of blocks is a grid whose cells
@@ -120,26 +120,35 @@ def fingerprint_links(reps: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     for i, (_, free) in enumerate(choices):
         for j, (m, _) in enumerate(_masks(free, 4, 2)):
             finer.append(F.struct(F.lit(i).alias("of"), F.lit(j).alias("sub"), embedding(F.col("fp")).bitwiseAND(F.lit(_signed(m))).alias("finer")))
-    rest = rest.select("fp", "rep", "pick", "at", F.explode(F.array(*finer)).alias("f")).where("f.of = pick")
-    rest = rest.select("fp", "rep", "pick", "at", "f.sub", "f.finer")
+    rest = rest.select("fp", "pick", "at", F.explode(F.array(*finer)).alias("f")).where("f.of = pick")
+    rest = rest.select("fp", "pick", "at", "f.sub", "f.finer")
     return found.union(_links(rest, ["pick", "at", "sub", "finer"])).distinct()
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, tkey, fp) of all documents, and rows (fp, root, component_id) of the distinct fingerprints."""
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), row_key(F.col(text)).alias("tkey"))
+    fps = written(rows.mapInArrow(_fingerprints, "id long, tkey long, fp long"), "fingerprints")
+    reps = written(fps.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
+    comp = connected_components(fingerprint_links(reps))
+    nodes = reps.join(comp, reps.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    nodes = written(nodes, "nodes")
+    least = written(nodes.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    return fps, nodes.join(least, "root").select("fp", "root", "component_id")
+
+
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Near-duplicate groups: one row (doc_id, fp, component_id) for each row of docs.
 
     fp is the SimHash of the lower-cased (A-Z) three-word shingles; rows link at two or fewer differing bits;
     component_id is the smallest id reachable. Null and empty texts have fingerprint zero and link like any
-    other. Fewer than three words hash as one sequence. Repeated ids keep a row each. A row without an id gets
-    its fingerprint and the component of the rows with an id that share that fingerprint, else null.
-    Copies collapse to one representative first, so a group of copies is one node. Other columns are ignored.
+    other. Fewer than three words hash as one sequence. Rows link by their fingerprints alone: repeated ids keep
+    a row each, which may be in different groups, and a row without an id is in its group like others; a group
+    without any id has component null. Other columns are ignored.
+    Copies collapse to their fingerprint first, so a group of copies is one node.
     """
-    bound_batches(docs.sparkSession)
-    pair = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    fps = written(pair.mapInArrow(_fingerprints, "id long, fp long"), "fingerprints")
-    reps = written(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
-    comp = connected_components(fingerprint_links(reps))
-    label = reps.join(comp, reps.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    fps, label = _grouped(docs, doc_id, text)
     return fps.join(label, "fp", "left").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
@@ -148,8 +157,15 @@ def simhash_query(docs: DataFrame) -> DataFrame:
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their group, one row each, with the columns of docs."""
-    keep = simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), packed_row(docs))
-    return rows.join(keep, "id").dropDuplicates(["id"]).select("row.*")
+def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group, with the columns of docs: that with the smallest id.
+
+    Of rows that repeat this id with other texts in the group, the smallest hash of the text decides; equal rows
+    are kept once. A group without any id keeps one row too.
+    """
+    fps, label = _grouped(docs, doc_id, text)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "tkey")).alias("first")
+    least = fps.groupBy("fp").agg(first).join(label, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = written(least.select("first.id", "first.tkey"), "kept")
+    rows = docs.select(F.col(doc_id).cast("long").alias("own"), row_key(F.col(text)).alias("key"), packed_row(docs))
+    return rows.join(keep, F.expr("own <=> id and key = tkey")).dropDuplicates(["own", "key"]).select("row.*")
