@@ -18,6 +18,7 @@ from tallykeep.llm.fm_index import FMIndex
 from tallykeep.llm.language import identify_languages
 from tallykeep.llm.lines import common_blocks, dedup_lines, patience_matches
 from tallykeep.llm.mixing import TARGETS, label_domains, mix, mix_documents
+from tallykeep.llm.near_copies import keep_first_copies
 from tallykeep.llm.queries import ORACLE_SQL, QUERIES, TOKENIZER
 from tallykeep.llm.sharding import assign_shards
 from tallykeep.llm.simhash import fingerprint, fingerprint_links, keep_representatives, simhash_groups, simhash_query
@@ -394,3 +395,29 @@ def test_pipeline(spark):
     five = P.packing_stage(spark, four, SF)
     assert five.select("doc_id").distinct().count() == four.select("doc_id").distinct().count()
     assert [n for n, _ in P.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "mixing", "packing"]
+
+
+@pytest.mark.parametrize("cell_texts", [16, 2])
+def test_pipeline_drops_near_copies(spark, cell_texts):
+    """Of near copies at a five-word Jaccard of 0.8 one stays, however their fingerprints differ; others all stay."""
+    rng = random.Random(8)
+    prose = lambda k: [f"w{rng.randrange(5000)}" for _ in range(k)]
+    base, texts = [prose(120) for _ in range(30)], []
+    for b in base:
+        texts.append(b)
+        for cuts in (1, 2, 8):  # similarity of about 0.92, 0.84 and 0.5
+            new = list(b)
+            for c in range(cuts):
+                new[10 + c * 14] = f"x{rng.random()}"
+            texts.append(new)
+    texts += [[*base[0][:60], f"y{i}", *base[0][61:]] for i in range(60)] + [["a"], ["A"], []]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(base[1])), (500, None)]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)} for w in ((t or "").lower().split() for _, t in rows)]
+    near = [[j for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)] for a in sets]
+    place = list(range(len(rows)))
+    while (new := [min(place[j] for j in n) for n in near]) != place:
+        place = new
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    kept = keep_first_copies(docs, cell_texts=cell_texts)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [rows[p][0] for p in sorted(set(place))]
+    assert keep_first_copies(docs.limit(0)).isEmpty() and keep_representatives(docs).count() > len(set(place))
