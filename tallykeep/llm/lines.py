@@ -16,33 +16,32 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, packed_row, row_key, text_buffers, written
 
-#: Rarity, in bits, that shared lines need together: that of one line in a hundredth of all documents.
+#: Weight, in bits, that makes an overlap of shared lines: that of one line in a hundredth of all documents.
 RARE_BITS = math.log2(100)
+#: Bytes of a line that weigh one bit, however frequent it is: 67 bytes together are an overlap.
+BIT_BYTES = 10
 NO_ID = np.iinfo(np.int64).max
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line that isn't blank: number among those, place among all lines, hash; and the hash of all."""
-    names = ["id", "tkey", "ordinal", "place", "line", "doc"]
+    """A row for each line that isn't blank: number among those, place among all lines, hash, bytes; and how many there are."""
+    names = ["id", "tkey", "ordinal", "place", "line", "size", "all"]
     for batch in batches:
         data, off = text_buffers(batch.column(2))
         rows, at = [], []
         for i in range(len(batch)):
-            whole = xxhash.xxh64(seed=9)
             n = 0
             for place, line in enumerate(data[off[i] : off[i + 1]].tobytes().split(b"\n")):
-                if line.strip():
-                    h = xxhash.xxh64_intdigest(line)
-                    whole.update(h.to_bytes(8, "little"))
-                    rows.append((n, place, h))
+                if bare := line.strip():
+                    rows.append((n, place, xxhash.xxh64_intdigest(line), len(bare)))
                     at.append(i)
                     n += 1
-            rows[len(rows) - n :] = [(*r, whole.intdigest()) for r in rows[len(rows) - n :]]
+            rows[len(rows) - n :] = [(*r, n) for r in rows[len(rows) - n :]]
             if len(rows) > 1 << 16 or (i + 1 == len(batch) and rows):
                 c = list(zip(*rows))
                 take = pa.array(at)
                 cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32())]
-                cols += [pa.array(np.array(x, np.uint64).view(np.int64)) for x in c[2:]]
+                cols += [pa.array(np.array(c[2], np.uint64).view(np.int64)), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, names)
                 rows, at = [], []
 
@@ -107,18 +106,16 @@ def common_blocks(a: list[tuple], b: list[tuple], bits: float) -> list[int]:
     return out
 
 
-def _align(bits: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 64):
-                part, gone = batch.slice(lo, 64), []
-                for early, late in zip(part.column(2), part.column(3)):
-                    a, b = ([(x["ordinal"], x["line"], x["rarity"]) for x in s.as_py()] for s in (early, late))
-                    place = [x["place"].as_py() for x in late]
-                    gone.append([place[j] for j in common_blocks(a, b, bits)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(gone, pa.list_(pa.int32()))], ["id", "tkey", "gone"])
-
-    return run
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of the later text's lines in all blocks that the two have in common."""
+    for batch in batches:
+        for lo in range(0, len(batch), 64):
+            part, gone = batch.slice(lo, 64), []
+            for early, late in zip(part.column(2), part.column(3)):
+                a, b = ([(x["ordinal"], x["line"], 0.0) for x in s.as_py()] for s in (early, late))
+                place = [x["place"].as_py() for x in late]
+                gone.append([place[j] for j in common_blocks(a, b, 0.0)])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(gone, pa.list_(pa.int32()))], ["id", "tkey", "gone"])
 
 
 def _without(text: str | None, gone) -> str | None:
@@ -143,11 +140,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rar
 
     The columns of docs, text without the deleted lines, and n_lines, n_removed (lines that aren't blank) and
     n_partners. The first document of each line is its owner. A document overlaps an earlier one if the lines
-    whose owner that one is are rare enough together: a line in d of n documents counts log2(n / d) bits, copies
-    of one document counting once, and a line of one or two counts as rare alone. The two are aligned by
-    patience diff over their shared lines; aligned blocks go from the later one if they are rare enough too, so
-    boilerplate that stands alone stays. What is deleted stands in the line's owner, where nothing earlier can
-    delete it. Each line leads to one owner, so the pairs are at most as many as lines and no line is capped.
+    whose owner that one is weigh rare_bits together. A line in d of n families weighs log2(n / d) bits, and as
+    much as an overlap alone if d is one or two; a family is a document with those that have half of their lines
+    or more from it, so near copies count once. However frequent, a line weighs at least a bit for BIT_BYTES of
+    its bytes, so a long line or passage overlaps alone, at any size of the table; short boilerplate that stands
+    alone stays. The two are aligned by patience diff over their shared lines, and all aligned blocks go from
+    the later one. What is deleted stands in the line's owner, where nothing earlier can delete it. Each line
+    leads to one owner, so the pairs are at most as many as lines and no line is capped.
 
     Null and empty texts have no lines. A text of which nothing is left becomes empty. Rows that repeat an id
     are not earlier than one another; a row without an id comes after all others. Lines are compared by 64-bit
@@ -157,23 +156,29 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rar
     added = ["n_lines", "n_removed", "n_partners"]
     docs = docs.drop(*added)
     keyed = docs.select(packed_row(docs), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), row_key(F.col(text)).alias("tkey"))
-    lines = keyed.select("id", "tkey", F.col("row")[text].alias("text")).mapInArrow(_lines, "id long, tkey long, ordinal int, place int, line long, doc long")
+    lines = keyed.select("id", "tkey", F.col("row")[text].alias("text")).mapInArrow(_lines, "id long, tkey long, ordinal int, place int, line long, size long, all int")
     total = math.log2(max(2, docs.count()))
-    by_doc = lines.groupBy("line", "doc").agg(F.min(F.struct("id", "tkey")).alias("first"), F.max("id").alias("last"))
-    stats = by_doc.groupBy("line").agg(F.min("first").alias("owner"), F.max("last").alias("last"), F.count("*").alias("n")).where("owner.id < last")
+    stats = lines.groupBy("line").agg(F.min(F.struct("id", "tkey")).alias("owner"), F.max("id").alias("last")).where("owner.id < last")
+    stats = written(stats.select("line", "owner"), "lines")  # so that the join can split a hot line
+    shared = written(lines.join(stats, "line").select("id", "tkey", "ordinal", "place", "line", "size", "all", "owner"), "shared")
+
+    own = written(shared.groupBy("id", "tkey", "owner", "line").agg(F.count_distinct("ordinal").alias("k"), F.max("size").alias("size"), F.max("all").alias("all")), "own")
+    main = own.groupBy("id", "tkey", "owner").agg(F.sum("k").alias("k"), F.max("all").alias("all")).groupBy("id", "tkey")
+    main = main.agg(F.max(F.struct("k", "owner")).alias("most"), F.max("all").alias("all"))
+    family = main.select("id", "tkey", F.when(F.col("most.k") * 2 >= F.col("all"), F.col("most.owner")).otherwise(F.struct("id", "tkey")).alias("family"))
+    d = own.join(family, ["id", "tkey"]).select("line", "family").distinct().groupBy("line").agg(F.count("*").alias("n"))
     rarity = F.when(F.col("n") <= 2, F.lit(max(rare_bits, total))).otherwise(F.greatest(F.lit(0.0), F.lit(total) - F.log2("n")))
-    stats = written(stats.select("line", "owner", rarity.alias("rarity")), "lines")  # so that the join can split a hot line
-    shared = written(lines.join(stats, "line").select("id", "tkey", "ordinal", "place", "line", "owner", "rarity"), "shared")
+    weights = written(d.select("line", rarity.alias("rarity")), "weights")  # to split a hot line here too
 
-    own = shared.where("owner.id < id").groupBy("id", "tkey", "owner", "line").agg(F.max("rarity").alias("rarity"))
-    pairs = own.groupBy("id", "tkey", "owner").agg(F.sum("rarity").alias("bits")).where(F.col("bits") >= rare_bits)
+    weight = F.greatest(F.col("rarity"), F.col("size") / F.lit(BIT_BYTES))
+    pairs = own.where("owner.id < id").join(weights, "line").groupBy("id", "tkey", "owner").agg(F.sum(weight).alias("bits")).where(F.col("bits") >= rare_bits)
     pairs = written(pairs.select("id", "tkey", F.col("owner.id").alias("id0"), F.col("owner.tkey").alias("tkey0")), "pairs")
-    item = F.struct("ordinal", "place", "line", "rarity")
+    item = F.struct("ordinal", "place", "line")
     texts = shared.dropDuplicates(["id", "tkey", "ordinal"]).groupBy("id", "tkey").agg(F.sort_array(F.collect_list(item)).alias("late"))
     texts = written(texts, "sequences")
     early = texts.select(F.col("id").alias("id0"), F.col("tkey").alias("tkey0"), F.col("late").alias("early"))
     both = pairs.join(texts, ["id", "tkey"]).join(early, ["id0", "tkey0"]).select("id", "tkey", "early", "late")
-    gone = both.mapInArrow(_align(rare_bits), "id long, tkey long, gone array<int>").where("size(gone) > 0")
+    gone = both.mapInArrow(_align, "id long, tkey long, gone array<int>").where("size(gone) > 0")
     gone = gone.groupBy("id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"), F.count("*").alias("n_partners"))
     out = keyed.join(gone, ["id", "tkey"], "left")
     whole = F.col("row")[text]

@@ -421,3 +421,18 @@ def test_pipeline_drops_near_copies(spark, cell_texts):
     kept = keep_first_copies(docs, cell_texts=cell_texts)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [rows[p][0] for p in sorted(set(place))]
     assert keep_first_copies(docs.limit(0)).isEmpty() and keep_representatives(docs).count() > len(set(place))
+
+
+def test_lines_of_families_and_long_lines(spark):
+    """Near copies make no line frequent; a long line goes at any frequency, short boilerplate that stands alone stays."""
+    rng = random.Random(6)
+    line = lambda k=3: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    base, long = [line() for _ in range(9)], line(12)
+    texts = [list(base)]
+    texts += [[*base[:4], line(), *base[5:]] for _ in range(70)]  # near copies, a third of all rows
+    texts += [[line(), *base[:4], line()] for _ in range(5)]  # four lines of the family
+    texts += [[line(), long, line()] for _ in range(60)] + [[line(), "Read more", line()] for _ in range(60)]
+    df = spark.createDataFrame([(i, "\n".join(t), "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(df).collect()}
+    assert got[0] == 0 and all(got[i] == 8 for i in range(1, 71)) and all(got[i] == 4 for i in range(71, 76))
+    assert got[76] == 0 and all(got[i] == 1 for i in range(77, 136)) and all(got[i] == 0 for i in range(136, 196))
