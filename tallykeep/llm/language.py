@@ -6,15 +6,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, bound_batches, written
+from .common import BLOCK_BYTES, bound_batches, packed_row, written
 
 #: Bounds of the sample that the model is fitted on: languages, labelled rows of all together, landmarks of all together.
 MAX_LANGUAGES, TRAIN_ROWS, LANDMARKS = 256, 8192, 256
 RIDGE = 1e-4
+#: Labelled rows from which the lowest score among them counts in full.
+FLOOR_ROWS = 1000
 #: Own symbols for so many letters; others share one. Symbol 1 stands for everything between letters.
 LETTERS = 61
 _SHARED, _GAP = 63, 1
@@ -83,8 +86,13 @@ class Model:
     weight for each gram and language, and batches of texts are scored by one matrix product.
     """
 
-    def __init__(self, table: np.ndarray, languages: list[str], grams: np.ndarray, weights: np.ndarray):
+    def __init__(self, table: np.ndarray, languages: list[str], grams: np.ndarray, weights: np.ndarray, floors: np.ndarray | None = None):
         self.table, self.languages, self.grams, self.weights = table, languages, grams, weights
+        self.floors = np.zeros(1) if floors is None else floors
+
+    def floor(self, text: str | None) -> float:
+        """The score that a text of this length needs."""
+        return float(self.floors[min(len(text or "").bit_length(), len(self.floors) - 1)])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         g = Grams(self.table)
@@ -129,19 +137,34 @@ def _kernel_rows(table, landmarks):
         for batch in batches:
             lang, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(texts), 64):
-                have, x, size = [], [], []
+                have, x, size, bits = [], [], [], []
                 for k, t in zip(lang[lo : lo + 64], texts[lo : lo + 64]):
                     if g.mark(t or ""):
                         have.append(k)
                         x.append(g.marks[grams])
                         size.append(np.count_nonzero(g.marks))
+                        bits.append(len(t).bit_length())
                 if have:
                     k = np.array(x, np.float32) @ marks.T / (np.sqrt(size)[:, None] * norms)
-                    yield pa.RecordBatch.from_arrays([pa.array(have), pa.array([r.astype("<f8").tobytes() for r in k], pa.binary())], ["lang", "row"])
+                    yield pa.RecordBatch.from_arrays([pa.array(have), pa.array([r.astype("<f8").tobytes() for r in k], pa.binary()), pa.array(bits, pa.int32())], ["lang", "row", "bits"])
 
     return run
 
 
+def score_floors(length: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The lowest score of rows of each bit length of the text or a longer one.
+
+    Short texts score low, so each length has its own floor. Where fewer than FLOOR_ROWS rows speak, it is that
+    share of the way from 0.5, the score of a text that has no gram in common with any landmark.
+    """
+    floors = []
+    for b in range(int(length.max(initial=0)) + 1):
+        have = score[length >= b]
+        low = float(have.min())
+        floors.append(min(low, 0.5 + (low - 0.5) * min(1.0, len(have) / FLOOR_ROWS)))
+    return np.array(floors or [0.0])
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit a model on documents that are not held out and have an id, a text and a language.
 
@@ -179,13 +202,17 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     inner = (own @ own.T).astype(np.float64) / np.outer(norms, norms)
 
     shared = spark.sparkContext.broadcast((grams, marks, norms))
-    kernel = sample.select("lang", "text").mapInArrow(_kernel_rows(table, shared), "lang string, row binary").collect()
+    kernel = sample.select("lang", "text").mapInArrow(_kernel_rows(table, shared), "lang string, row binary, bits int").collect()
     k = np.array([np.frombuffer(r[1], "<f8") for r in kernel])
     sign = np.array([[1.0 if r[0] == c else -1.0 for c in languages] for r in kernel])
     left = k.T @ k / len(k) + RIDGE * inner + 1e-9 * np.eye(len(inner))
     solved = np.linalg.solve(left, k.T @ sign / len(k))
     weights = (own.T @ (solved / norms[:, None])).astype(np.float32)
-    return Model(table.value, languages, grams, weights)
+    out = k @ solved
+    right = np.array([languages[b] == r[0] for b, r in zip(out.argmax(1), kernel)], bool)
+    score = ((out.max(1) + 1) / 2).clip(0, 1)
+    floors = score_floors(np.array([r[2] for r in kernel], np.int64)[right], score[right])
+    return Model(table.value, languages, grams, weights, floors)
 
 
 def _predict(model):
@@ -215,3 +242,32 @@ def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     model = docs.sparkSession.sparkContext.broadcast(train(docs, doc_id, text, lang))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def _judge(model):
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = model.value
+        for s in texts:
+            lang, ok = [], []
+            for lo in range(0, len(s), 64):
+                part = [t if isinstance(t, str) else None for t in s.iloc[lo : lo + 64]]
+                a, b = m.predict(part)
+                lang += a
+                ok += [bool(k != "und" and x >= m.floor(t) - 1e-6) for k, x, t in zip(a, b, part)]
+            yield pd.DataFrame({"lang": lang, "ok": ok})
+
+    return run
+
+
+def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows whose text is in a language that the model knows, with the columns of docs.
+
+    A row goes if it has no letter, or if its score is lower than that of all held-in rows of its length or
+    longer that are predicted as labelled (score_floors). A row without a language gets the predicted one.
+    """
+    bound_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, doc_id, text, lang))
+    judge = F.pandas_udf(_judge(model), "lang string, ok boolean", F.PandasUDFType.SCALAR_ITER)
+    got = docs.select(packed_row(docs), judge(F.col(text)).alias("got")).where("got.ok")
+    own = lambda c: F.col("row")[c]
+    return got.select(*[(F.coalesce(own(c), F.col("got.lang")) if c == lang else own(c)).alias(c) for c in docs.columns])

@@ -436,3 +436,16 @@ def test_lines_of_families_and_long_lines(spark):
     got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(df).collect()}
     assert got[0] == 0 and all(got[i] == 8 for i in range(1, 71)) and all(got[i] == 4 for i in range(71, 76))
     assert got[76] == 0 and all(got[i] == 1 for i in range(77, 136)) and all(got[i] == 0 for i in range(136, 196))
+
+
+def test_pipeline_rejects_unknown_languages(spark):
+    """Texts in a language without labels go, clean ones stay, and a missing language is filled in."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = docs.where("n_chars > 500").orderBy("doc_id").first()
+    rng = random.Random(2)
+    russian = " ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(150))
+    odd = [(900001, russian, "en", "x", len(russian)), (900002, clean["text"], None, "x", clean["n_chars"])]
+    got = {r["doc_id"]: r for r in P.language_stage(spark, docs.union(spark.createDataFrame(odd, docs.schema)), SF).collect()}
+    assert 900001 not in got and got[900002]["lang"] == clean["lang"] and len(got) >= 0.99 * docs.count()
