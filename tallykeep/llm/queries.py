@@ -13,7 +13,7 @@ from .language import identify_languages
 from .lines import lines_query
 from .mixing import mixing_query
 from .packing import pack_documents
-from .sharding import SHARDING_SQL, assign_shards
+from .sharding import SHARDING_SQL, sharding_query
 from .simhash import simhash_query
 from .sketch import fingerprint_documents
 from .substring import SUBSTRING_SQL, substring_query
@@ -23,7 +23,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": lambda s, d: mixing_query(table(s, d, "documents"), table(s, d, "labels")),
-    "op2_sharding": lambda s, d: assign_shards(table(s, d, "documents")),
+    "op2_sharding": lambda s, d: sharding_query(table(s, d, "documents")),
     "op3_simhash": lambda s, d: simhash_query(table(s, d, "documents")),
     "op4_packing": lambda s, d: pack_documents(table(s, d, "documents"), TOKENIZER),
     "op5_language": lambda s, d: identify_languages(table(s, d, "documents")),

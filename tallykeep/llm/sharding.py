@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed_row, written
+from .common import new_path, packed_row, written
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 16 << 20
@@ -75,38 +75,65 @@ def assign_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     Null and empty texts have no bytes and still belong to a shard; a null id counts as an empty one; repeated
     ids go to the same shard. No rows give no rows. Other columns are ignored.
     """
-    raw = docs.select(F.col(doc_id).alias("doc_id"), key_hash(F.col(doc_id)).alias("h"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("bytes"))
-    raw = raw.withColumn("part", F.spark_partition_id())
-    rows = written(raw, "rows")
-    sizes = rows.groupBy("h").agg(F.sum("bytes").alias("bytes"))
-    leaves = directory(written(sizes, "sizes"), limit)
+    rows = written(_sized(docs, doc_id, text), "rows")
+    fits, over = _placed(rows, rows, limit)
+    out = ["doc_id", "depth", "prefix", "page", "bytes", "shard_bytes"]
+    if over is None:
+        return fits.select(out)
+    over = written(over.drop("shard_bytes"), "pages")
+    total = over.groupBy("h", "page").agg(F.sum("bytes").alias("shard_bytes"))
+    return fits.select(out).union(over.join(total, ["h", "page"]).select(out))
+
+
+def _sized(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
+    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("bytes")
+    return docs.select(F.col(doc_id).alias("doc_id"), key_hash(F.col(doc_id)).alias("h"), size, *more).withColumn("part", F.spark_partition_id())
+
+
+def _placed(sized: DataFrame, rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows, of which sized has the sizes, with depth, prefix, page: those of shards within the limit, and those of larger keys.
+
+    The place follows from the row itself, whose other columns go with it: so rows that repeat an id keep a page each.
+    """
+    leaves = directory(written(sized.groupBy("h").agg(F.sum("bytes").alias("bytes")), "sizes"), limit)
     keyed = None
     for (at,) in sorted(leaves.select("at").distinct().collect()):
         some = leaves.where(F.col("at") == at).drop("at")
         key = F.call_function("shiftleft", _prefix(F.col("h"), at), F.lit(BITS - at))
-        got = rows.join(some.withColumnRenamed("bytes", "shard_bytes"), key == some["low"]).select("doc_id", "h", "bytes", "part", "depth", "prefix", "shard_bytes")
+        got = rows.join(some.withColumnRenamed("bytes", "shard_bytes"), key == some["low"]).drop("low")
         keyed = got if keyed is None else keyed.union(got)
     if keyed is None:
-        keyed = rows.select("doc_id", "h", "bytes", "part", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("shard_bytes"))
-    out = ["doc_id", "depth", "prefix", "page", "bytes", "shard_bytes"]
+        keyed = rows.withColumns({"depth": F.lit(0), "prefix": F.lit(0).cast("long"), "shard_bytes": F.lit(0).cast("long")})
     fits = keyed.where(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("long"))
-    over = keyed.where(F.col("shard_bytes") > limit)
-    if over.isEmpty():
-        return fits.select(out)
+    if leaves.where(F.col("bytes") > limit).isEmpty():
+        return fits, None
     # each input partition fills pages of its own, two of whose neighbours are always over half a limit together
+    over = keyed.where(F.col("shard_bytes") > limit)
     by_part = F.expr("sum(bytes) OVER (PARTITION BY h, part ORDER BY bytes, doc_id ROWS UNBOUNDED PRECEDING)")
     over = over.withColumn("until", by_part).withColumn("step", F.floor((F.col("until") - 1) / F.lit(limit // 2)).cast("long"))
-    over = over.withColumn("page", F.col("part").cast("long") * 2**32 + F.greatest("step", F.lit(0).cast("long")) + 1)
-    total = over.groupBy("h", "page").agg(F.sum("bytes").alias("page_bytes"))
-    over = over.join(total, ["h", "page"]).withColumn("shard_bytes", F.col("page_bytes"))
-    return fits.select(out).union(over.select(out))
+    return fits, over.withColumn("page", F.col("part").cast("long") * 2**32 + F.greatest("step", F.lit(0).cast("long")) + 1).drop("until", "step")
 
 
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Write the documents with one folder for each shard (depth=, prefix=, page=). Rows of one id go together."""
-    of = assign_shards(docs, doc_id, text, limit).select("doc_id", "depth", "prefix", F.min("page").over(Window.partitionBy("doc_id")).alias("page")).distinct()
-    both = docs.select(packed_row(docs), F.col(doc_id).alias("id")).join(of, F.expr("id <=> doc_id")).select("row.*", "depth", "prefix", "page")
-    both.repartition("depth", "prefix", "page").write.partitionBy("depth", "prefix", "page").parquet(path)
+    """Write the documents with one folder for each shard (depth=, prefix=, page=); every row is in the page that it was dealt to."""
+    fits, over = _placed(_sized(docs, doc_id, text), _sized(docs, doc_id, text, packed_row(docs)), limit)
+    place = ["depth", "prefix", "page"]
+    both = fits.select("row.*", *place)
+    if over is not None:
+        both = both.union(over.select("row.*", *place))
+    both.repartition(*place).write.partitionBy(*place).parquet(path)
+
+
+def sharding_query(docs: DataFrame) -> DataFrame:
+    """Write the shards, and report what is in the files read back: the columns of assign_shards."""
+    path = new_path(docs.sparkSession, "shards")
+    write_shards(docs.select("doc_id", "text"), path)
+    types = "doc_id {}, text string, depth int, prefix long, page long".format(docs.schema["doc_id"].dataType.simpleString())
+    back = docs.sparkSession.read.schema(types).parquet(path)
+    place = ["depth", "prefix", "page"]
+    rows = back.select("doc_id", *place, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    total = rows.groupBy(*place).agg(F.sum("bytes").alias("shard_bytes"))
+    return rows.join(F.broadcast(total), place).select("doc_id", *place, "bytes", "shard_bytes")
 
 
 SHARDING_SQL = f"""

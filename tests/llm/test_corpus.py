@@ -20,7 +20,7 @@ from tallykeep.llm.lines import common_blocks, dedup_lines, patience_matches
 from tallykeep.llm.mixing import TARGETS, label_domains, mix, mix_documents
 from tallykeep.llm.near_copies import keep_first_copies
 from tallykeep.llm.queries import ORACLE_SQL, QUERIES, TOKENIZER
-from tallykeep.llm.sharding import assign_shards
+from tallykeep.llm.sharding import assign_shards, write_shards
 from tallykeep.llm.simhash import fingerprint, fingerprint_links, keep_representatives, simhash_groups, simhash_query
 from tallykeep.llm.substring import remove_repeats
 
@@ -449,3 +449,14 @@ def test_pipeline_rejects_unknown_languages(spark):
     odd = [(900001, russian, "en", "x", len(russian)), (900002, clean["text"], None, "x", clean["n_chars"])]
     got = {r["doc_id"]: r for r in P.language_stage(spark, docs.union(spark.createDataFrame(odd, docs.schema)), SF).collect()}
     assert 900001 not in got and got[900002]["lang"] == clean["lang"] and len(got) >= 0.99 * docs.count()
+
+
+def test_written_shards_keep_the_limit_for_a_hot_key(spark, tmp_path):
+    """Pages of a key with a third of all rows, and of a null key, stay apart; no row is lost or doubled."""
+    rows = [(i, f"{i:04d}" * 25) for i in range(120)] + [(7, "x" * 100)] * 60 + [(None, f"{i:05d}" * 20) for i in range(60)] + [(7, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    write_shards(df, f"{tmp_path}/shards", limit=1000)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in back.collect()))) == sorted(map(str, rows))
+    size = back.groupBy("depth", "prefix", "page").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    assert size.where("bytes > 1000").isEmpty() and size.where("page > 0").count() >= 12
