@@ -30,9 +30,15 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset and the session runs in this one process, a folder of our own. On a cluster no folder
+    of this machine would do, so it raises.
+    """
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         got = tempfile.mkdtemp(prefix="tallykeep-")
         spark.sparkContext.setCheckpointDir(got)
     top = f"{got.rstrip('/')}/tallykeep-{spark.sparkContext.applicationId}"

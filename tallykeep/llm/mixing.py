@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, _span_hashes, blocks, bound_batches, long_cuts, packed_row, row_key, split_words, text_buffers, written
 
-#: Bounds of what the classifier is fitted on: labelled documents of each domain, and words.
-TRAIN_DOCS, WORDS = 3000, 2048
+#: Bounds of what the classifier is fitted on: labelled documents of all domains, and words.
+TRAIN_DOCS, WORDS = 9000, 2048
 LEAST_DOCS = 5
 TARGETS = {"good": 0.90, "poor": 0.09, "toxic": 0.01}
 MAX_RATE = 8.0
-STEPS, TOLERANCE = 40, 1e-3
+STEPS, TOLERANCE = 60, 1e-3
 
 _MARK = np.zeros(256, np.uint64)  # values of bytes that are neither letters nor digits
 for _b in range(33, 127):
@@ -74,32 +75,28 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _training(vocabulary):
+    """Known words of each document of the sample and their log counts, as compact bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for batch in batches:
             data, off = text_buffers(batch.column(1))
             for lo, hi in blocks(off):
-                tok, first = tokens(data, off[lo : hi + 1])
-                x = features(v, tok, first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], ["domain", "x"])
+                text, word, n = v.counts(*tokens(data, off[lo : hi + 1]))
+                cut = np.searchsorted(text, np.arange(1, hi - lo))
+                words = [x.astype("<i4").tobytes() for x in np.split(word, cut)]
+                logs = [x.tobytes() for x in np.split(np.log1p(n).astype("<f4"), cut)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(words, pa.binary()), pa.array(logs, pa.binary())], ["domain", "words", "logs"])
 
     return run
 
 
-def features(v: Vocabulary, tok: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows of log counts of known tokens."""
-    text, word, n = v.counts(tok, first)
-    x = np.zeros((len(first) - 1, len(v.hashes)), np.float32)
-    x[text, word] = np.log1p(n)
-    return x
-
-
 def fit(x: np.ndarray, y: np.ndarray, n: int, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic regression by accelerated gradient; every class weighs the same."""
     weight = (1 / np.bincount(y, minlength=n).clip(1))[y]
     weight = (weight / weight.sum()).astype(np.float32)
     one = np.eye(n, dtype=np.float32)[y]
-    rate = 2.0 / (float((weight * ((x * x).sum(1) + 1)).sum()) + ridge)
+    rate = 2.0 / (float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum()) + ridge)
     w, b = np.zeros((x.shape[1], n), np.float32), np.zeros(n, np.float32)
     vw, vb = w.copy(), b.copy()
     for k in range(steps):
@@ -113,46 +110,69 @@ def fit(x: np.ndarray, y: np.ndarray, n: int, ridge: float = 1e-3, steps: int =
     return w, b
 
 
+def _sample(docs: DataFrame, labels: DataFrame, count: dict[str, int], doc_id: str, text: str) -> DataFrame:
+    """About TRAIN_DOCS labelled documents (domain, text), as many of each domain, whatever ids repeat.
+
+    Ids are drawn by their hash first, which bounds what is broadcast; then distinct texts of these by another,
+    which bounds the rows where one id stands for many.
+    """
+    each = max(1.0, TRAIN_DOCS / len(count))
+    draw = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    share = lambda n: F.create_map(*[c for k in count for c in (F.lit(k), F.lit(min(1.0, each / max(1, n.get(k, 0)))))])[F.col("domain")]
+    few = labels.where(draw("doc_id") < share(count)).select(F.col("doc_id").alias("_of"), "domain")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(few), F.col("_id") == F.col("_of")).withColumn("key", F.xxhash64("_id", "text"))
+    rows = written(rows.groupBy("domain", "key").agg(F.first("text").alias("text")), "labelled")
+    have = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
+    return rows.where(draw("key", F.lit("row")) < share(have)).select("domain", "text")
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str):
     """Domains, vocabulary and weights, from a bounded sample of the labelled documents (doc_id, domain).
 
-    The sample is at most about TRAIN_DOCS documents a domain, by a hash of their ids; words are those whose
-    share of documents differs most between domains. How frequent the domains are is counted over all labels.
+    The sample is at most about TRAIN_DOCS distinct documents, shared evenly among all domains; words are the
+    WORDS whose share of documents differs most between domains. How frequent the domains are is counted over
+    all labels.
     """
     spark = docs.sparkSession
     labels = labels.where("doc_id is not null and domain is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "domain").distinct()
-    count = {r[0]: r[1] for r in labels.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(16).collect()}
+    count = {r[0]: r[1] for r in labels.groupBy("domain").count().collect()}
     domains = sorted(count)
     if not domains:
         return [], None
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    limit = F.create_map(*[c for k in domains for c in (F.lit(k), F.lit(min(1.0, TRAIN_DOCS / count[k])))])[F.col("domain")]
-    few = labels.where(u < limit).select(F.col("doc_id").alias("_of"), "domain")  # TRAIN_DOCS a domain, so small enough to broadcast
-    sample = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = written(sample.join(F.broadcast(few), F.col("_id") == F.col("_of")).select("domain", "text"), "sample")
+    prior = np.log(np.array([count[k] for k in domains], float) / sum(count.values())).astype(np.float32)
+    sample = written(_sample(docs, labels, count, doc_id, text), "sample")
 
     sizes = {r[0]: r[1] for r in sample.groupBy("domain").count().collect()}
-    seen = sample.mapInArrow(_seen, "domain string, token long").groupBy("token")
-    seen = seen.agg(F.count("*").alias("n"), *[F.count(F.when(F.col("domain") == k, 1)).alias(f"n{i}") for i, k in enumerate(domains)]).where(F.col("n") >= LEAST_DOCS)
-    share = [(F.col(f"n{i}") + 0.5) / (sizes.get(k, 0) + 1.0) for i, k in enumerate(domains)]
-    most, least = (F.greatest(*share), F.least(*share)) if len(share) > 1 else (share[0], F.lit(0.5))
-    told = (most - least) * (most - least) / (most + least)
-    words = [r[0] for r in seen.orderBy(F.desc(told), "token").limit(WORDS).select("token").collect()]
+    per = sample.mapInArrow(_seen, "domain string, token long").groupBy("token", "domain").agg(F.count("*").alias("n"))
+    size_of = F.create_map(*[c for k in domains for c in (F.lit(k), F.lit(float(sizes.get(k, 0))))])[F.col("domain")]
+    per = per.withColumn("share", (F.col("n") + 0.5) / (size_of + 1.0))
+    absent = 0.5 / (max(sizes.values(), default=0) + 1.0)  # of a domain that hasn't the word at all
+    seen = per.groupBy("token").agg(F.sum("n").alias("n"), F.max("share").alias("most"), F.min("share").alias("low"), F.count("*").alias("k"))
+    least = F.when(F.col("k") < len(domains), F.least("low", F.lit(absent))).otherwise(F.col("low")) if len(domains) > 1 else F.lit(0.5)
+    told = (F.col("most") - least) * (F.col("most") - least) / (F.col("most") + least)
+    words = [r[0] for r in seen.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc(told), "token").limit(WORDS).select("token").collect()]
     v = Vocabulary(np.array(words, np.int64).view(np.uint64))
-    rows = sample.mapInArrow(_training(spark.sparkContext.broadcast(v)), "domain string, x binary").collect()
+    shared = spark.sparkContext.broadcast(v)
+    rows = sample.mapInArrow(_training(shared), "domain string, words binary, logs binary").collect()
+    shared.unpersist()
     if not rows:
-        return domains, (v, np.zeros((len(v.hashes), len(domains)), np.float32), np.log(np.array([count[k] for k in domains], float)).astype(np.float32))
-    x = np.array([np.frombuffer(r[1], "<f4") for r in rows])
-    w, b = fit(x, np.array([domains.index(r[0]) for r in rows]), len(domains))
-    prior = np.log(np.array([count[k] for k in domains], float) / sum(count.values()))
-    return domains, (v, w, (b + prior).astype(np.float32))
+        return domains, (v, np.zeros((len(v.hashes), len(domains)), np.float32), prior)
+    x, at = np.zeros((len(rows), len(v.hashes)), np.float32), {k: i for i, k in enumerate(domains)}
+    for row, r in zip(x, rows):
+        row[np.frombuffer(r[1], "<i4")] = np.frombuffer(r[2], "<f4")
+    w, b = fit(x, np.array([at[r[0]] for r in rows]), len(domains))
+    return domains, (v, w, b + prior)
 
 
 def _posteriors(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An Arrow function from texts to (tokens, posterior)."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v, w, b = model.value
-        for batch in batches:
-            data, off = text_buffers(batch.column(2))
+        for arr in texts:
+            data, off = text_buffers(arr)
+            sizes, rows = [np.zeros(0, np.int64)], [np.zeros(0)]
             for lo, hi in blocks(off):
                 tok, first = tokens(data, off[lo : hi + 1])
                 text, word, n = v.counts(tok, first)
@@ -160,52 +180,102 @@ def _posteriors(model):
                 np.add.at(z, text, np.log1p(n)[:, None] * w[word])
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                rows = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), rows], ["doc_id", "tkey", "tokens", "posterior"]
-                )
+                sizes.append(np.diff(first).astype(np.int64))
+                rows.append(p.ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(arr) * len(b) + 1, len(b), dtype=np.int32)), pa.array(np.concatenate(rows)))
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(sizes)), lists], ["tokens", "posterior"])
 
     return run
 
 
-def _rate(moves: np.ndarray, most: float) -> Column:
-    """The rate of a document after all projected steps so far; it depends on its own row and the steps alone."""
-    r = F.lit(1.0)
-    if not len(moves):
-        return r
-    steps = F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in moves])
-    dot = lambda m: F.aggregate(F.zip_with("posterior", m, lambda p, g: p * g), F.lit(0.0), lambda s, v: s + v) * F.col("tokens")
-    return F.aggregate(steps, r, lambda s, m: F.greatest(F.lit(0.0), F.least(F.lit(most), s - dot(m))))
+def rates(amount: np.ndarray, moves: np.ndarray, most: float) -> np.ndarray:
+    """Rates of documents (rows of tokens by domain) after all projected steps; a row's own tokens and the steps decide."""
+    r = np.ones(len(amount))
+    for m in moves:
+        r = np.clip(r - amount @ m, 0.0, most)
+    return r
+
 
+def _amounts(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    """Expected tokens of each document by domain, from columns tokens and posterior."""
+    p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return p * batch.column(0).to_numpy(zero_copy_only=False)[:, None]
 
-def _state(member: DataFrame, rate: Column, n: int, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """The domains' expected tokens, and their Gram matrix over the documents whose rate is at no bound."""
-    at = [F.col("tokens") * F.col("posterior")[i] for i in range(n)]
-    free = (F.col("r") > 0) & (F.col("r") < most)
-    upper = [(i, j) for i in range(n) for j in range(i, n)]
-    sums = [F.sum(F.col("r") * x) for x in at] + [F.sum(F.when(free, at[i] * at[j])) for i, j in upper]
-    got = [x or 0.0 for x in member.select("tokens", "posterior", rate.alias("r")).agg(*sums).first()]
-    gram = np.zeros((n, n))
-    for (i, j), v in zip(upper, got[n:]):
-        gram[i, j] = gram[j, i] = v
-    return np.array(got[:n]), gram
 
+def _totals(moves: np.ndarray, n: int, most: float):
+    """Of a partition: the domains' expected tokens, and the Gram matrix of the documents that are at no bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(n + n * n)
+        for batch in batches:
+            x = _amounts(batch, n)
+            r = rates(x, moves, most)
+            free = x[(r > 0) & (r < most)]
+            out[:n] += r @ x
+            out[n:] += (free.T @ free).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["at", "v"])
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", total: float | None = None, max_rate: float = MAX_RATE) -> DataFrame:
+    return run
+
+
+def _state(member: DataFrame, moves: np.ndarray, n: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The domains' expected tokens and the Gram matrix at the present rates, over all documents."""
+    parts = member.select("tokens", "posterior").mapInArrow(_totals(moves, n, most), "at long, v double")
+    out = np.zeros(n + n * n)
+    for at, v in parts.groupBy("at").agg(F.sum("v")).collect():  # a number for each pair of domains
+        out[at] = v
+    return out[:n], out[n:].reshape(n, n)
+
+
+def _taken(moves: np.ndarray, n: int, most: float):
+    def run(tokens: pa.Array, posterior: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([tokens, posterior], ["tokens", "posterior"])
+        return pa.array(rates(_amounts(batch, n), moves, most))
+
+    return F.arrow_udf(run, "double")("tokens", "posterior")
+
+
+def solve(state, wanted: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+    """Projected steps towards the wanted tokens, and the largest error that is left, as a share of its own target.
+
+    state(moves) gives the tokens and the Gram matrix under a list of steps. Errors are weighted by the inverse
+    of the Gram matrix over the documents at no bound, which makes the unit step right while no other reaches a
+    bound. A step that brings nothing is taken back and tried at half its length; the best list is returned.
+    """
+    n = len(wanted)
+    scale = np.where(wanted > 0, wanted, wanted.sum())
+    moves = np.zeros((0, n))
+    now, gram = state(moves)
+    best, step = np.abs((now - wanted) / scale).max(), 1.0
+    for _ in range(steps):
+        if best <= tolerance or not gram.any() or step < 1 / 64:
+            break
+        inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) / n * np.eye(n))
+        tried = np.vstack([moves, step * (inverse @ (now - wanted))])
+        then, there = state(tried)
+        size = np.abs((then - wanted) / scale).max()
+        if size < best:
+            moves, now, gram, best, step = tried, then, there, size, min(1.0, 2 * step)
+        else:
+            step /= 2
+    return moves, float(best)
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", total: float | None = None, max_rate: float = MAX_RATE, keep: bool = False) -> DataFrame:
     """Rates at which to take documents so that the domains' expected tokens (words) match target shares.
 
     A row for each row of docs: doc_id, tkey (hash of the text), tokens, posterior (in the order of sorted
     domains), rate (0 to max_rate) and copies, which is the rate rounded down or up by a hash of the row so that
-    its expectation is the rate. labels are rows (doc_id, domain); every target's domain must be among them.
+    its expectation is the rate; with keep also row, the row of docs. labels are rows (doc_id, domain); every
+    target's domain must be among them.
 
     A classifier fitted on labelled documents gives each document a posterior over domains. The rates solve a
     least-squares problem over all documents: the sum of rate * tokens * posterior should be the target of each
-    domain. Projected gradient steps start from rate 1; errors are weighted by the inverse of the domains' Gram
-    matrix over the documents that aren't at a bound, which makes the unit step right; a step that brings
-    nothing is followed by shorter ones. A step is one number for each domain, so a document's rate follows
-    from its own row and the list of steps: each step is one aggregation over a compact table, and nothing else
-    comes to the driver. total is the number of tokens wanted; by default the domain with the largest target
-    keeps its tokens.
+    domain. Projected gradient steps start from rate 1 (solve); a step is one number for each domain, so a
+    document's rate follows from its own row and the list of steps. Each step is one aggregation over a compact
+    table, of which a number for each pair of domains comes to the driver. total is the number of tokens wanted;
+    by default the domain with the largest target keeps its tokens. Each domain is brought within TOLERANCE of
+    its own target; where rates up to max_rate can't do that, the nearest list of steps counts, with a warning.
 
     Null and empty texts have no tokens; their rate stays 1 and changes no total. Without labels, or without
     tokens, all rates are 1. A row without an id is mixed like others. Repeated rows get equal rates. Labels
@@ -213,34 +283,31 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], doc_id: s
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), packed_row(docs)) if keep else docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.withColumn("tkey", row_key(F.col("text")))
     domains, model = train(docs, labels, doc_id, text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tkey"), F.col(text).alias("text"))
     if not domains:
-        return rows.select("doc_id", "tkey", F.lit(0).cast("long").alias("tokens"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        same = {"tokens": F.lit(0).cast("long"), "posterior": F.array().cast("array<double>"), "rate": F.lit(1.0), "copies": F.lit(1)}
+        return rows.withColumns(same).drop("text")
     unknown = set(targets) - set(domains)
     if unknown:
         raise ValueError(f"no labels for {sorted(unknown)}")
-    member = rows.mapInArrow(_posteriors(spark.sparkContext.broadcast(model)), "doc_id long, tkey long, tokens long, posterior array<double>")
-    member = written(member, "membership")
     n = len(domains)
+    shared = spark.sparkContext.broadcast(model)
+    member = F.arrow_udf(_posteriors(shared), "tokens long, posterior array<double>", F.ArrowUDFType.SCALAR_ITER)
+    member = written(rows.withColumn("m", member(F.coalesce("text", F.lit("")))).select("*", "m.*").drop("m", "text"), "membership")
+    shared.unpersist()
     share = np.array([targets.get(k, 0.0) for k in domains])
     share = share / share.sum()
-    now, gram = _state(member, F.lit(1.0), n, max_rate)
-    moves = np.zeros((0, n))
+    state = lambda moves: _state(member, moves, n, max_rate)
+    moves, now = np.zeros((0, n)), state(np.zeros((0, n)))[0]
     if now.sum() > 0:
         wanted = share * (total if total is not None else now[share.argmax()] / share.max())
-        step, best = 1.0, np.inf
-        for _ in range(STEPS):
-            error = now - wanted
-            size = np.abs(error).max()
-            if size <= TOLERANCE * wanted.sum() or not gram.any():
-                break
-            step, best = (step, size) if size < best else (step / 2, best)
-            inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) / n * np.eye(n))
-            moves = np.vstack([moves, step * (inverse @ error)])
-            now, gram = _state(member, _rate(moves, max_rate), n, max_rate)
+        moves, left = solve(state, wanted)
+        if left > TOLERANCE:
+            warnings.warn(f"the mix misses a target by {left:.2%} of it: rates from 0 to {max_rate} don't reach it", stacklevel=2)
     chance = F.pmod(F.xxhash64("doc_id", "tkey", F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    out = member.withColumn("rate", _rate(moves, max_rate))
+    out = member.withColumn("rate", _taken(moves, n, max_rate))
     return out.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
@@ -259,11 +326,11 @@ def mixing_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents as often as their mix says, with the columns of docs."""
+    """The documents as often as their mix says, with the columns of docs.
+
+    The rows are written once with their posteriors, so no text is shuffled; nulls, ties and repeats as in mix.
+    """
     domains = label_domains(labels)
     present = {r[0] for r in domains.select("domain").distinct().collect()}
-    of = mix(docs, domains, {k: v for k, v in TARGETS.items() if k in present})
-    of = of.select("doc_id", "tkey", "copies").where("copies > 0").distinct()
-    rows = docs.select(packed_row(docs), F.col("doc_id").cast("long").alias("id"), row_key(F.col("text")).alias("key"))
-    both = rows.join(of, F.expr("id <=> doc_id and key = tkey"))
-    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    out = mix(docs, domains, {k: v for k, v in TARGETS.items() if k in present}, keep=True).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
