@@ -23,11 +23,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_events(df: DataFrame, relation: str, seq, op, old, new) -> DataFrame:
     """Canonical events from expressions over df."""
     values = {"stream_id": F.lit("s"), "seq": seq.cast("long"), "event_id": F.concat(F.lit("e"), seq.cast("string")), "relation": F.lit(relation), "op": op, "old": old, "new": new}
-    out = []
-    for part in V.EVENT_SCHEMA.replace(V.IMAGE, "IMAGE").split(", "):
-        name, kind = part.split(" ")
-        out.append(values[name].alias(name) if name in values else F.lit(None).cast(kind.replace("IMAGE", V.IMAGE)).alias(name))
-    return df.select(*out)
+    none = F.from_json(F.lit("{}"), V.EVENT_SCHEMA)  # a NULL of each column's type
+    return df.select(*[(values[c] if c in values else none[c]).alias(c) for c in EVENT_COLUMNS])
 
 
 def changed_orders(o: DataFrame, customers: int) -> DataFrame:
@@ -45,13 +42,13 @@ def order_events(o: DataFrame, customers: int) -> DataFrame:
     """Updates and deletes at seq 2k, inserted copies at 2k + 1."""
     c = changed_orders(o, customers)
     cols = o.columns
-    old = V.image(c, {x: F.col(x) for x in cols})
-    new = V.image(c, {x: F.col(f"n_{x}") for x in cols})
+    old = V.image(c, {x: x for x in cols})
+    new = V.image(c, {x: f"n_{x}" for x in cols})
     some = c.where("what is not null")
     events = as_events(some, "orders", F.col("o_orderkey") * 2, F.col("what"), old, F.when(F.col("what") == "UPDATE", new))
     copies = c.where("o_orderkey % 31 = 0").withColumn("o_orderkey", F.col("o_orderkey") + SHIFT)
     none = F.lit(None).cast(V.IMAGE)
-    return events.union(as_events(copies, "orders", (F.col("o_orderkey") - SHIFT) * 2 + 1, F.lit("INSERT"), none, V.image(copies, {x: F.col(x) for x in cols})))
+    return events.union(as_events(copies, "orders", (F.col("o_orderkey") - SHIFT) * 2 + 1, F.lit("INSERT"), none, V.image(copies, {x: x for x in cols})))
 
 
 #: The same changes in SQL: what orders are after the stream.

@@ -1,11 +1,14 @@
 """Tagged values, row images and change events as Spark columns.
 
 An image is a map from column name to a struct of a type tag and a text, so that an absent column differs from a
-NULL one, and 1 from 1.0, '1' and true. Tags: null, bool, int, dec, float, str, json.
+NULL one, and 1 from 1.0, '1' and true. Tags: null, bool, int, dec, float, str, json. Numbers stay texts until they
+are added up, so that they are compared exactly at any length. Functions named *_sql return SQL text, which is
+parsed in one call; larger expressions are built from it.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +21,97 @@ EVENT_SCHEMA = (
     "changed_cols array<string>, unavailable_cols array<string>, boundary_clock string, old_complete boolean, "
     "new_complete boolean, changed_complete boolean, tx_id string"
 )
-#: Scale of the decimals in which evidence is added up.
-SCALE = 6
+#: Places after the point in which evidence is added up where the column's own type isn't known.
+SCALE = 18
+NUMBERS = "('int', 'dec')"
+_PLAIN = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
+
+
+# ---------------------------------------------------------------- SQL text
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_sql(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def names_sql(columns) -> str:
+    return f"array({', '.join(text_sql(c) for c in sorted(columns))})" if columns else "cast(array() as array<string>)"
+
+
+def any_sql(conditions) -> str:
+    got = [f"({c})" for c in conditions]
+    return " or ".join(got) if got else "false"
+
+
+def all_sql(conditions) -> str:
+    got = [f"({c})" for c in conditions]
+    return " and ".join(got) if got else "true"
+
+
+def canonical_sql(v: str) -> str:
+    """The one text of a plain number: no sign but a minus, no zeros that say nothing."""
+    for pattern, to in (("^[+]?(-?)0*([0-9]*)[.]?([0-9]*?)0*$", "$1$2.$3"), ("[.]$", ""), ("^(-?)(?=[.])", "$10"), ("^-?$", "0")):
+        v = f"regexp_replace({v}, '{pattern}', '{to}')"
+    return v
+
+
+def plain_sql(v: str) -> str:
+    return f"{v} rlike '{_PLAIN}'"
+
+
+def key_sql(x: str) -> str:
+    """A tagged value as the text of a key: 1 and 1.00 are one, NULL is itself."""
+    return f"case when {x}.t in {NUMBERS} then {canonical_sql(x + '.v')} when {x}.t <> 'null' then {x}.v end"
+
+
+def same_sql(a: str, b: str) -> str:
+    """Typed equality of two tagged values: whole and decimal numbers by value, all else by tag and text."""
+    both = all_sql([f"{x}.t in {NUMBERS} and {plain_sql(x + '.v')}" for x in (a, b)])
+    return f"({a} <=> {b} or coalesce({both} and {canonical_sql(a + '.v')} = {canonical_sql(b + '.v')}, false))"
+
+
+def exact_sql(v: str, kind: str) -> str:
+    """The text of a number as a value of an integral or decimal type; NULL unless it is exactly that."""
+    scale = int(kind.split(",")[1].rstrip(")")) if kind.startswith("decimal") else 0
+    number = f"try_cast({v} as {kind if kind.startswith('decimal') else 'decimal(38,0)'})"
+    number = f"if({v} rlike '^[+-]?[0-9]*[.]?[0-9]{{0,{scale}}}0*$', {number}, null)"
+    return number if kind.startswith("decimal") else f"try_cast({number} as {kind})"
+
+
+def fits_sql(x: str, kind: str) -> str:
+    """Whether a tagged value is one of a column's type: none is rounded, cut or read from another kind."""
+    if kind.startswith("decimal") or kind in ("tinyint", "smallint", "int", "bigint"):
+        ok = f"{x}.t in {NUMBERS} and {exact_sql(x + '.v', kind)} is not null"
+    elif kind in ("string", "boolean"):
+        ok = f"{x}.t = '{'str' if kind == 'string' else 'bool'}'"
+    else:
+        ok = f"try_cast({x}.v as {kind}) is not null"
+    return f"coalesce({x}.t = 'null' or ({ok}), false)"
+
+
+def compare_sql(c: str, op: str, value) -> str:
+    """c op value, for a text against a text or a number's canonical text against a number; exact at any length."""
+    if isinstance(value, str):
+        return f"{c} {op} {text_sql(value)}"
+    plain = format(Decimal(str(value)), "f")
+    low, digits = plain.startswith("-"), plain.lstrip("+-")
+    whole, _, part = digits.partition(".")
+    whole, part = whole.lstrip("0") or "0", part.rstrip("0")
+    low = low and (whole, part) != ("0", "")
+    own = ("-" if low else "") + whole + (f".{part}" if part else "")
+    size = f"trim(LEADING '-' FROM {c})"
+    w, p = f"substring_index({size}, '.', 1)", f"if(contains({c}, '.'), substring_index({c}, '.', -1), '')"
+    beyond = lambda x: f"(length({w}) {x} {len(whole)} or (length({w}) = {len(whole)} and ({w} {x} '{whole}' or ({w} = '{whole}' and {p} {x} '{part}'))))"
+    more = f"(not startswith({c}, '-') or {beyond('<')})" if low else f"(not startswith({c}, '-') and {beyond('>')})"
+    same = f"{c} = '{own}'"
+    return {"=": same, "!=": f"not ({same})", "<>": f"not ({same})", ">": more, ">=": f"({more} or {same})", "<=": f"not {more}", "<": f"not ({more} or {same})"}[op]
+
+
+# ---------------------------------------------------------------- columns
 
 
 def normalize_relation(name: Column) -> Column:
@@ -27,6 +119,10 @@ def normalize_relation(name: Column) -> Column:
     return F.lower(F.array_join(F.transform(F.split(name, r"\."), F.trim), "."))
 
 
+def relation_sql(name: str) -> str:
+    return f"lower(array_join(transform(split({name}, '[.]'), p -> trim(p)), '.'))"
+
+
 def relation_name(name: str) -> str:
     return ".".join(p.strip() for p in name.split(".")).lower()
 
@@ -49,10 +145,19 @@ def tagged(value: Column, kind: T.DataType) -> Column:
     return F.struct(F.when(value.isNull(), "null").otherwise(tag).alias("t"), F.when(value.isNotNull(), text).alias("v"))
 
 
-def image(df: DataFrame, columns: dict[str, Column]) -> Column:
-    """An image of named expressions over df; the tags follow from the expressions' types."""
-    kinds = df.select(*[c.alias(k) for k, c in columns.items()]).schema
-    return F.create_map(*[x for k, c in columns.items() for x in (F.lit(k), tagged(c, kinds[k].dataType))])
+def tagged_sql(column: str, kind: T.DataType) -> str:
+    tag, c = tag_of(kind), quoted(column)
+    text = f"to_json(struct({c}))" if tag == "json" and not isinstance(kind, T.DatetimeType) else f"cast({c} as string)"
+    return f"named_struct('t', if({c} is null, 'null', '{tag}'), 'v', if({c} is null, null, {text}))"
+
+
+def image(df: DataFrame, columns: dict[str, Column | str]) -> Column:
+    """An image of named columns (given by name) or expressions over df; the tags follow from their types."""
+    if all(isinstance(c, str) for c in columns.values()):
+        pairs = [f"{text_sql(k)}, {tagged_sql(c, df.schema[c].dataType)}" for k, c in columns.items()]
+        return F.expr(f"map({', '.join(pairs)})")
+    kinds = df.select(*[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()]).schema
+    return F.create_map(*[x for k, c in columns.items() for x in (F.lit(k), tagged(F.col(c) if isinstance(c, str) else c, kinds[k].dataType))])
 
 
 def empty_image() -> Column:
@@ -63,56 +168,25 @@ def has(img: Column, name: str) -> Column:
     return F.coalesce(F.map_contains_key(img, name), F.lit(False))
 
 
-def tag(img: Column, name: str) -> Column:
-    return img[name]["t"]
-
-
-def text(img: Column, name: str) -> Column:
-    return img[name]["v"]
-
-
-def number(img: Column, name: str) -> Column:
-    """The exact number under a name, NULL for what is none."""
-    return F.when(tag(img, name).isin("int", "dec"), text(img, name).try_cast(f"decimal(38,{SCALE})"))
-
+def key_text(img: str, name: str) -> Column:
+    """The key under a name of the image column img."""
+    return F.expr(key_sql(f"{img}[{text_sql(name)}]"))
 
-def same_value(a: Column, b: Column) -> Column:
-    """Typed equality of two tagged values: whole and decimal numbers by value, all else by tag and text."""
-    both = a["t"].isin("int", "dec") & b["t"].isin("int", "dec")
-    exact = a["v"].try_cast(f"decimal(38,{SCALE})").eqNullSafe(b["v"].try_cast(f"decimal(38,{SCALE})"))
-    return F.when(both, exact).otherwise(a["t"].eqNullSafe(b["t"]) & a["v"].eqNullSafe(b["v"]))
-
-
-def key_text(img: Column, name: str) -> Column:
-    """A group or join key as text: 1 and 1.00 are one key, NULL is itself."""
-    n = text(img, name).try_cast(f"decimal(38,{SCALE})")
-    plain = F.regexp_replace(F.regexp_replace(n.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(tag(img, name).isin("int", "dec"), plain).when(tag(img, name) != "null", text(img, name))
-
-
-def keys(img: Column) -> Column:
-    return F.coalesce(F.map_keys(img), F.array().cast("array<string>"))
 
+def key_of_column(df: DataFrame, column: str) -> Column:
+    """The key of a typed column, as the text that its image would give."""
+    kind, c = df.schema[column].dataType, F.col(quoted(column))
+    if tag_of(kind) not in ("int", "dec"):
+        return c.cast("string")
+    return F.expr(canonical_sql(f"cast({quoted(column)} as string)"))
 
-def names(columns) -> Column:
-    cols = sorted(columns)
-    return F.array(*[F.lit(c) for c in cols]) if cols else F.array().cast("array<string>")
 
-
-def missing(required, img: Column) -> Column:
-    """Required columns that an image doesn't have."""
-    return F.array_except(names(required), keys(img))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def read_key(key: Column | str, kind: T.DataType) -> Column:
+    """A key's text as a value of the type; raises if it is none, which certification rules out."""
+    key = F.col(key) if isinstance(key, str) else key
+    got = key.try_cast(kind)
+    return F.when(key.isNull() | got.isNotNull(), got).otherwise(F.raise_error(F.concat(F.lit(f"no {kind.simpleString()}: "), key)))
 
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
-def derived_changes(old: Column, new: Column) -> Column:
-    """Columns of both images whose values differ."""
-    both = F.array_intersect(keys(old), keys(new))
-    return F.filter(both, lambda k: ~same_value(old[k], new[k]))

@@ -12,20 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..plans.shapes import QueryShape
-from .certify import certify
+from .certify import certify_all, prepared
 
 
 def decisions(events: DataFrame, shapes: list[QueryShape]) -> DataFrame:
-    """A row for each event and shape on its relation: seq, shape, decision, reason, cols (touched columns), hit."""
-    out = None
-    for s in shapes:
-        mine = events.where(V.normalize_relation(F.col("relation")) == V.relation_name(s.relation))
-        c = certify(mine, s)
-        if "changed" not in c.columns:
-            c = c.withColumn("changed", F.array().cast("array<string>"))
-        one = c.select("seq", F.lit(s.name).alias("shape"), V.normalize_relation(F.col("relation")).alias("relation"), "decision", "reason", F.array_intersect("changed", V.names(s.fingerprint())).alias("cols"))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("hit", F.col("decision") != "preserve")
+    """A row for each event and shape on its relation, from one pass: seq, shape, decision, reason, cols (touched columns), hit."""
+    return certify_all(events, shapes, own_relation=True).withColumn("hit", F.col("decision") != "preserve")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -87,12 +79,8 @@ def topology(shapes: list[str], edges: set[tuple[str, str]]) -> dict:
 
 def intersections(events: DataFrame, shapes: list[QueryShape]) -> DataFrame:
     """Hits by columns alone (seq, shape): equal relation and a changed column in the fingerprint; nothing is certified."""
-    out = None
-    for s in shapes:
-        c = certify(events.where(V.normalize_relation(F.col("relation")) == V.relation_name(s.relation)), s)
-        one = c.where(F.size(F.array_intersect("changed", V.names(s.fingerprint()))) > 0).select("seq", F.lit(s.name).alias("shape"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    hit = [f"if(_rel = {V.text_sql(V.relation_name(s.relation))} and arrays_overlap(changed, {V.names_sql(s.fingerprint())}), {V.text_sql(s.name)}, null)" for s in shapes]
+    return prepared(events).select("seq", F.explode_outer(F.expr(f"array({', '.join(hit)})")).alias("shape")).where("shape is not null")
 
 
 def pair_counts(hits: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..plans.shapes import QueryShape
 def multiset(shape: QueryShape, rows: DataFrame) -> DataFrame:
     """How often each value stands in each group (g0.., v, cnt): signed counts of it merge like any sum."""
     groups = [F.col(c).alias(f"g{i}") for i, c in enumerate(shape.group_cols)]
-    return rows.where(shape.predicate.on_rows()).where(F.col(shape.agg_col).isNotNull()).groupBy(*groups, F.col(shape.agg_col).alias("v")).agg(F.count("*").alias("cnt"))
+    return rows.where(shape.predicate.on_rows(rows)).where(F.col(shape.agg_col).isNotNull()).groupBy(*groups, F.col(shape.agg_col).alias("v")).agg(F.count("*").alias("cnt"))
 
 
 def merge_multiset(state: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -33,6 +33,8 @@ def best_window(state: DataFrame, agg_fn: str, width: int) -> DataFrame:
     """The best width values of each group, repeats included."""
     groups = [c for c in state.columns if c not in ("v", "cnt")]
     order = F.asc("v") if agg_fn == "min" else F.desc("v")
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(order))
+    state = state.withColumn("rank", rank).where(F.col("rank") <= width).drop("rank")  # a value counts at least once
     before = F.coalesce(F.sum("cnt").over(Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return state.withColumn("before", before).where(F.col("before") < width).withColumn("cnt", F.least("cnt", F.lit(width) - F.col("before"))).drop("before")
 

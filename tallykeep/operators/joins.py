@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.tables import cut
-from ..plans.shapes import JoinClause, JoinShape, compare, literal, sufficient
-from .certify import operation
+from ..plans.shapes import JoinClause, JoinShape, sufficient, sum_type, typed_sql
+from .certify import first_rule, prepared, staged
+from .maintain import merge
 
-_SUM = f"decimal(38,{V.SCALE})"
 _END = (1 << 62) - 1
 
 
@@ -26,12 +26,9 @@ def _needed(shape: JoinShape, table: str) -> frozenset[str]:
     return shape.columns_of(table, security=False) | {shape.key_of(table)}
 
 
-def _predicate(shape: JoinShape) -> Column:
-    return V.all_of([F.coalesce(compare(_c(p), op, literal(v)), F.lit(False)) for p, op, v in shape.predicate])
-
-
-def _value(shape: JoinShape) -> Column | None:
-    return _c(shape.agg_col) if shape.agg_col else None
+def _predicate(shape: JoinShape, rows: DataFrame) -> Column:
+    terms = [(f"{t}__{c}", op, v) for (t, c), op, v in shape.predicate]
+    return F.expr(V.all_sql([f"coalesce({typed_sql(V.quoted(c), rows.schema[c].dataType, op, v)}, false)" for c, op, v in terms]))
 
 
 def cold_join_state(shape: JoinShape, tables: dict[str, DataFrame]) -> DataFrame:
@@ -44,7 +41,8 @@ def cold_join_state(shape: JoinShape, tables: dict[str, DataFrame]) -> DataFrame
     for j in shape.joins:
         out = out.join(_named(tables[j.table], j.table, _needed(shape, j.table)), _c(j.left) == _c((j.table, j.key)), j.kind)
     groups = [_c(g).alias(f"g{i}") for i, g in enumerate(shape.group_cols)]
-    return out.where(_predicate(shape)).groupBy(*groups).agg(*sufficient(shape.agg_fn, _value(shape)))
+    value = f"{shape.agg_col[0]}__{shape.agg_col[1]}" if shape.agg_col else None
+    return out.where(_predicate(shape, out)).groupBy(*groups).agg(*sufficient(shape.agg_fn, value, out))
 
 
 def check_keys(shape: JoinShape, tables: dict[str, DataFrame]) -> None:
@@ -55,9 +53,14 @@ def check_keys(shape: JoinShape, tables: dict[str, DataFrame]) -> None:
         bad = [c for x, c in [(j.table, j.key) for j in shape.joins] + [j.left for j in shape.joins] if x == t and kinds[c] in ("bool", "float", "json")]
         if bad:
             raise ValueError(f"{t}.{bad[0]} can't be a join key")
-        worst = tables[t].groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1))
-        if not worst.isEmpty():
-            raise ValueError(f"{t}.{key} isn't a primary key")
+    every = None
+    for i, t in enumerate(shape.tables()):
+        keys = tables[t].select(F.lit(i).alias("t"), F.col(shape.key_of(t)).cast("string").alias("k"))
+        every = keys if every is None else every.union(keys)
+    worst = every.groupBy("t", "k").count().where("k is null or count > 1").select("t").head()  # one pass over all tables
+    if worst:
+        t = shape.tables()[worst[0]]
+        raise ValueError(f"{t}.{shape.key_of(t)} isn't a primary key")
 
 
 def join_multiplicity(shape: JoinShape, tables: dict[str, DataFrame], dimension: str) -> DataFrame:
@@ -89,20 +92,20 @@ def versions(seed: DataFrame, table: str, key: str, events: DataFrame, cols) ->
     NULLs overwrite. Updates of unknown rows are dropped; an update of the key closes one row and opens another.
     """
     kinds = {f.name: f.dataType for f in seed.schema}
-    k = lambda img: V.key_text(F.col(img), key)
-    mine = events.where(V.normalize_relation(F.col("relation")) == table).withColumn("operation", operation())
+    k = lambda img: V.key_text(img, key)
+    mine = events.where(F.col("rel") == table)
     opened = mine.select(F.coalesce(k("new"), k("old")).alias("k"), "seq", "new", (F.col("operation") == "INSERT").alias("opens"))
     moved = k("old").isNotNull() & k("new").isNotNull() & (k("old") != k("new"))
     closed = mine.where(moved).select(k("old").alias("k"), "seq", F.lit(None).cast(V.IMAGE).alias("new"), F.lit(False).alias("opens"))
     opened = opened.join(mine.where(moved).select(F.col("seq").alias("_s")), F.col("seq") == F.col("_s"), "left").withColumn("opens", F.col("opens") | F.col("_s").isNotNull()).drop("_s")
-    start = seed.select(V.key_text(V.image(seed, {"k": F.col(key)}), "k").alias("k"), F.lit(-1).cast("long").alias("seq"), V.image(seed, {c: F.col(c) for c in cols}).alias("new"), F.lit(True).alias("opens"))
+    start = seed.select(V.key_of_column(seed, key).alias("k"), F.lit(-1).cast("long").alias("seq"), V.image(seed, {c: c for c in cols}).alias("new"), F.lit(True).alias("opens"))
     every = start.union(opened.select("k", "seq", "new", "opens")).union(closed)
     by_key = Window.partitionBy("k").orderBy("seq")
     gone = F.coalesce(F.size(F.map_keys("new")), F.lit(0)) <= 0
     every = every.withColumn("gone", gone).withColumn("life", F.sum(F.when(gone, 1).otherwise(0)).over(by_key)).withColumn("until", F.lead("seq", 1, _END).over(by_key))
     life = Window.partitionBy("k", "life").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     every = every.where("not gone")
-    held = [F.last(F.when(V.has(F.col("new"), c), F.col("new")[c]), ignorenulls=True).over(life)["v"].cast(kinds[c]).alias(f"{table}__{c}") for c in sorted(cols)]
+    held = [F.last(F.when(V.has(F.col("new"), c), F.col("new")[c]), ignorenulls=True).over(life)["v"].try_cast(kinds[c]).alias(f"{table}__{c}") for c in sorted(cols)]
     out = every.select(*held, F.first("opens").over(life).alias("_known"), F.col("seq").alias(f"{table}__from"), F.col("until").alias(f"{table}__to"))
     return out.where("_known").drop("_known")
 
@@ -122,7 +125,7 @@ def _sides(events: DataFrame, table: str, seed: DataFrame, cols) -> DataFrame:
     out = None
     for name, side in (("old", -1), ("new", 1)):
         some = events.where(F.coalesce(F.size(F.map_keys(name)), F.lit(0)) > 0)
-        one = some.select("seq", F.lit(side).alias("side"), *[F.col(name)[c]["v"].cast(kinds[c]).alias(f"{table}__{c}") for c in sorted(cols)])
+        one = some.select("seq", F.lit(side).alias("side"), *[F.col(name)[c]["v"].try_cast(kinds[c]).alias(f"{table}__{c}") for c in sorted(cols)])
         out = one if out is None else out.union(one)
     return out
 
@@ -154,11 +157,12 @@ def _forward(shape: JoinShape, rows: DataFrame, world: dict[str, DataFrame], cha
 def contributions(shape: JoinShape, seeds: dict[str, DataFrame], events: DataFrame, world: dict[str, DataFrame], present: list[str]) -> DataFrame:
     """(seq, side, fact, inside, g0.., sum_val, n) of every fact row that an event touches, before (-1) and after (1)."""
     base = shape.base
-    value = _value(shape)
-    zero = F.lit(0).cast(_SUM)
+    value = _c(shape.agg_col) if shape.agg_col else None
+    kind = _sum_kind(shape, seeds)
+    zero = F.lit(0).cast(kind)
     parts = []
     for t in present:
-        mine = events.where(V.normalize_relation(F.col("relation")) == t)
+        mine = events.where(F.col("rel") == t)
         sides = _sides(mine, t, seeds[t], _needed(shape, t))
         if t == base:
             rows = _forward(shape, sides, world)
@@ -172,9 +176,9 @@ def contributions(shape: JoinShape, seeds: dict[str, DataFrame], events: DataFra
             cols = [f"{base}__{c}" for c in sorted(_needed(shape, base))]
             facts = back.select("seq", *cols).distinct().select("seq", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"), *cols)
             rows = _forward(shape, facts, world, t, sides)
-        inside = _predicate(shape)
+        inside = _predicate(shape, rows)
         counts = F.lit(1) if value is None else F.when(value.isNotNull(), 1).otherwise(0)
-        total = F.coalesce(value.cast(_SUM), zero) if value is not None and shape.agg_fn in ("sum", "avg") else zero
+        total = F.coalesce(value.cast(kind), zero) if value is not None and shape.agg_fn in ("sum", "avg") else zero
         parts.append(
             rows.select(
                 "seq", "side", _c((base, shape.base_key)).cast("string").alias("fact"), inside.alias("inside"),
@@ -191,62 +195,70 @@ def _join_keys(shape: JoinShape, t: str) -> frozenset[str]:
     return frozenset([c for x, c in (j.left for j in shape.joins) if x == t] + [j.key for j in shape.joins if j.table == t])
 
 
-def certify_join(shape: JoinShape, seeds: dict[str, DataFrame], events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sum_kind(shape: JoinShape, seeds: dict[str, DataFrame]) -> str:
+    if not shape.agg_col or shape.agg_fn not in ("sum", "avg"):
+        return sum_type(None)
+    return sum_type(seeds[shape.agg_col[0]].schema[shape.agg_col[1]].dataType, shape.agg_col[1])
+
+
+def _early(shape: JoinShape, seeds: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
+    """The rules that an event's own row decides, in order; what none of them decides needs the tables' rows."""
+    tables = shape.tables()
+    listed = ", ".join(V.text_sql(t) for t in tables)
+    tails = ", ".join(V.text_sql(t.rsplit(".", 1)[-1]) for t in tables)
+    bare = "true" if all("." not in t for t in tables) else "false"
+    ambiguous = f"_rel not in ({listed}) and substring_index(_rel, '.', -1) in ({tails}) and (not contains(_rel, '.') or {bare})"
+    ours = f"_rel in ({listed}, '', '*')"
+    per = lambda make: V.any_sql([f"_rel = {V.text_sql(t)} and ({make(t)})" for t in tables])
+    touches = lambda cols, of: f"arrays_overlap({cols}, {V.names_sql(of)})"
+    security = lambda t: frozenset(c for x, c in shape.security_cols if x == t)
+    lacks = lambda keys, t: f"size(array_except({V.names_sql(shape.required_evidence(t))}, {keys})) > 0"
+
+    def unfit(t: str) -> str:
+        """Values that aren't of their column's type in the seed: they would be rounded, cut or read from another kind."""
+        kinds = {f.name: f.dataType.simpleString() for f in seeds[t].schema}
+        value = lambda i, c: f"{i}[{V.text_sql(c)}]"
+        return V.any_sql([f"{value(i, c)}.t is not null and not {V.fits_sql(value(i, c), kinds[c])}" for i in ("_old", "_new") for c in sorted(_needed(shape, t))])
+
+    triage = lambda when, reason: [(f"{when} and {ambiguous}", "invalidate", "ambiguous_relation"), (f"{when} and {ours}", "invalidate", reason), (when, "preserve", "unrelated_relation")]
+    rules = triage("_ddl", "schema_evolution") + triage("_broken", "transaction_boundary_violation")
+    return rules + [
+        (f"_rel in ('', '*') or ({ambiguous})", "invalidate", "ambiguous_relation"),
+        (f"_rel not in ({listed})", "preserve", "unrelated_relation"),
+        ("operation = 'TRUNCATE'", "invalidate", "truncate_event"),
+        ("operation not in ('INSERT', 'UPDATE', 'DELETE', 'EMPTY')", "invalidate", "unsupported_event_operation"),
+        (per(unfit), "invalidate", "invalid_evidence_type"),
+        (per(lambda t: touches("_gone", security(t))), "invalidate", "security_column_changed"),
+        (per(lambda t: touches("_gone", shape.columns_of(t))), "invalidate", "missing_evidence_for_repair"),
+        ("_declared = 'INSERT' and (size(_ok) > 0 or size(_nk) = 0)", "invalidate", "invalid_event_payload"),
+        ("_declared = 'DELETE' and (size(_nk) > 0 or size(_ok) = 0)", "invalidate", "invalid_event_payload"),
+        ("_declared = 'UPDATE' and (size(_ok) = 0 or size(_nk) = 0)", "invalidate", "missing_evidence_for_repair"),
+        ("operation = 'EMPTY' and size(changed) = 0", "invalidate", "missing_evidence_for_repair"),
+        ("operation not in ('INSERT', 'DELETE') and " + f"({per(lambda t: 'not ' + touches('changed', shape.columns_of(t)))})", "preserve", "disjoint_columns"),
+        (per(lambda t: f"{touches('changed', security(t))} or (operation in ('INSERT', 'DELETE') and {'true' if security(t) else 'false'})"), "invalidate", "security_column_changed"),
+        (per(lambda t: f"(operation in ('UPDATE', 'DELETE') and {lacks('_ok', t)}) or (operation in ('UPDATE', 'INSERT') and {lacks('_nk', t)}) or operation not in ('INSERT', 'DELETE', 'UPDATE')"), "invalidate", "missing_evidence_for_repair"),
+    ]
+
+
+def certify_join(shape: JoinShape, seeds: dict[str, DataFrame], events: DataFrame, checked: bool = False) -> tuple[DataFrame, DataFrame]:
     """Certificates (seq, event_id, relation, operation, decision, reason) and the group deltas of repairs, by event.
 
     Every event is judged against the rows as they stood before it. Events whose old image isn't the stored row
     are stale; after the first event that invalidates, all later ones that touch the shape miss their auxiliary
-    state, and no delta of theirs is given.
+    state, and no delta of theirs is given. Evidence that isn't exactly of its column's type in the seed is
+    invalid. Seeds whose keys aren't unique raise; those that check_keys has passed once are given as checked.
     """
+    if not checked:
+        check_keys(shape, seeds)
     groups = [f"g{i}" for i in range(len(shape.group_cols))]
-    old, new = F.coalesce("old", V.empty_image()), F.coalesce("new", V.empty_image())
-    ev = events.withColumn("operation", operation()).withColumn("rel", V.normalize_relation(F.col("relation")))
-    unavailable, caller = (F.coalesce(c, F.array().cast("array<string>")) for c in ("unavailable_cols", "changed_cols"))
-    differ = V.derived_changes(old, new)
-    one_sided = F.array_union(F.array_except(V.keys(old), V.keys(new)), F.array_except(V.keys(new), V.keys(old)))
-    op = F.col("operation")
-    changed = F.when(op == "UPDATE", F.array_union(F.array_union(differ, one_sided), F.array_union(unavailable, caller))).otherwise(F.array_union(caller, unavailable))
-    ev = cut(ev.withColumn("_changed", changed))
-    changed = F.col("_changed")
     tables = shape.tables()
-    tails = [t.rsplit(".", 1)[-1] for t in tables]
-    ambiguous = ~F.col("rel").isin(tables) & F.element_at(F.split("rel", r"\."), -1).isin(tails) & ((F.instr("rel", ".") == 0) | F.lit(all("." not in t for t in tables)))
-    ours = F.col("rel").isin(*tables, "", "*")
-    ddl = F.coalesce("schema_change", F.lit(False)) | F.coalesce(F.upper("op").isin("SCHEMA_CHANGE", "DDL"), F.lit(False))
-    violation = F.coalesce(F.upper("op") == "TX_VIOLATION", F.lit(False))
-    empty_old, empty_new = F.size(V.keys(old)) == 0, F.size(V.keys(new)) == 0
-    per = lambda make: V.any_of([(F.col("rel") == t) & make(t) for t in tables])
-    touches = lambda cols, of: F.size(F.array_intersect(cols, V.names(of))) > 0
-    security = lambda t: frozenset(c for x, c in shape.security_cols if x == t)
-    bad_key = per(lambda t: V.any_of([V.has(i, c) & V.tag(i, c).isin("bool", "float", "json") for i in (old, new) for c in _join_keys(shape, t) | {c for x, c in shape.group_cols if x == t}]))
-    bad_value = per(lambda t: V.any_of([V.has(i, shape.agg_col[1]) & ~V.tag(i, shape.agg_col[1]).isin("int", "dec", "null") for i in (old, new) if shape.agg_col and shape.agg_col[0] == t and shape.agg_fn in ("sum", "avg")]))
-    lacking = per(
-        lambda t: (op.isin("UPDATE", "DELETE") & (F.size(V.missing(shape.required_evidence(t), old)) > 0))
-        | (op.isin("UPDATE", "INSERT") & (F.size(V.missing(shape.required_evidence(t), new)) > 0))
-    )
-    rules = [(ddl & ambiguous, "invalidate:ambiguous_relation"), (ddl & ours, "invalidate:schema_evolution"), (ddl, "preserve:unrelated_relation")]
-    rules += [(violation & ambiguous, "invalidate:ambiguous_relation"), (violation & ours, "invalidate:transaction_boundary_violation"), (violation, "preserve:unrelated_relation")]
-    rules += [
-        (F.col("rel").isin("", "*") | ambiguous, "invalidate:ambiguous_relation"),
-        (~F.col("rel").isin(tables), "preserve:unrelated_relation"),
-        (op == "TRUNCATE", "invalidate:truncate_event"),
-        (~op.isin("INSERT", "UPDATE", "DELETE", "EMPTY"), "invalidate:unsupported_event_operation"),
-        (bad_key | bad_value, "invalidate:invalid_evidence_type"),
-        (per(lambda t: touches(unavailable, security(t))), "invalidate:security_column_changed"),
-        (per(lambda t: touches(unavailable, shape.columns_of(t))), "invalidate:missing_evidence_for_repair"),
-        ((F.upper("op") == "INSERT") & (~empty_old | empty_new), "invalidate:invalid_event_payload"),
-        ((F.upper("op") == "DELETE") & (~empty_new | empty_old), "invalidate:invalid_event_payload"),
-        ((F.upper("op") == "UPDATE") & (empty_old | empty_new), "invalidate:missing_evidence_for_repair"),
-        ((op == "EMPTY") & (F.size(changed) == 0), "invalidate:missing_evidence_for_repair"),
-        (~op.isin("INSERT", "DELETE") & per(lambda t: ~touches(changed, shape.columns_of(t))), "preserve:disjoint_columns"),
-        (per(lambda t: touches(changed, security(t)) | (op.isin("INSERT", "DELETE") & F.lit(bool(security(t))))), "invalidate:security_column_changed"),
-        (lacking | ~op.isin("INSERT", "DELETE", "UPDATE"), "invalidate:missing_evidence_for_repair"),
-    ]
-    verdict = F.lit(None).cast("string")
-    for condition, v in reversed(rules):
-        verdict = F.when(F.coalesce(condition, F.lit(False)), F.lit(v)).otherwise(verdict)
-    key_change = per(lambda t: touches(changed, _join_keys(shape, t)))
-    ev = cut(ev.withColumn("early", verdict).withColumn("is_base", F.col("rel") == shape.base).withColumn("key_change", key_change))
+    place, decisions, reasons = first_rule(_early(shape, seeds))
+    verdicts = ", ".join(V.text_sql(f"{d}:{r}") for d, r in zip(decisions, reasons))
+    ev = staged(prepared(events), {"_at": place}, {"early": f"if(_at > 0, element_at(array({verdicts}), cast(_at as int)), null)"})
+    keys = V.any_sql([f"_rel = {V.text_sql(t)} and arrays_overlap(changed, {V.names_sql(_join_keys(shape, t))})" for t in tables])
+    ev = ev.select("stream_id", "seq", "event_id", "relation", F.col("_rel").alias("rel"), "operation", "old", "new", "early", F.expr(f"coalesce({keys}, false)").alias("key_change"), (F.col("_rel") == shape.base).alias("is_base"))
+    ev = cut(ev)
+    op = F.col("operation")
 
     usable = ev.where(F.col("early").isNull() | (F.col("early") == "preserve:disjoint_columns"))
     have = {r[0] for r in ev.where(F.col("rel").isin(tables)).select("rel").distinct().collect()}  # tables of the shape
@@ -259,18 +271,19 @@ def certify_join(shape: JoinShape, seeds: dict[str, DataFrame], events: DataFram
         kinds = {f.name: f.dataType for f in seeds[t].schema}
         mine = usable.where((F.col("rel") == t) & F.col("early").isNull())
         want = F.when(op == "INSERT", F.col("new")[key]["v"]).otherwise(F.col("old")[key]["v"])
-        mine = mine.withColumn("_k", want.cast(kinds[key]))
+        mine = mine.withColumn("_k", want.try_cast(kinds[key]))
         found = mine.join(world[t], (F.col("_k") == F.col(f"{t}__{key}")) & _valid(t, F.col("seq")), "left")
-        same = V.all_of([F.col("old")[c]["v"].cast(kinds[c]).eqNullSafe(F.col(f"{t}__{c}")) for c in cols])
+        same = V.all_of([F.col("old")[c]["v"].try_cast(kinds[c]).eqNullSafe(F.col(f"{t}__{c}")) for c in cols])
         ok = F.when(op == "INSERT", F.col(f"{t}__from").isNull()).otherwise(F.col(f"{t}__from").isNotNull() & same)
         one = found.where(~F.coalesce(ok, F.lit(False))).select(F.col("seq").alias("_stale"))
         stale = one if stale is None else stale.union(one)
 
     pieces = cut(contributions(shape, seeds, usable.where("early is null"), world, present))
+    kind = _sum_kind(shape, seeds)
     side = F.col("side")
     inside = pieces.where("inside")
     per_group = inside.groupBy("seq", *groups).agg(
-        F.sum(side * F.col("sum_val")).cast(_SUM).alias("sum_val"), F.sum(side * F.col("n")).alias("n"), F.sum(side.cast("long")).alias("rows"),
+        F.try_sum(F.when(side > 0, F.col("sum_val")).otherwise(-F.col("sum_val"))).cast(kind).alias("sum_val"), F.sum(side * F.col("n")).alias("n"), F.sum(side.cast("long")).alias("rows"),
         F.max((side < 0).cast("int")).alias("was"), F.max((side > 0).cast("int")).alias("now"),
     )
     net = per_group.groupBy("seq").agg(
@@ -297,23 +310,31 @@ def certify_join(shape: JoinShape, seeds: dict[str, DataFrame], events: DataFram
     )
     ev = ev.withColumn("v", F.coalesce("early", late))
     bad = F.when(F.col("v").startswith("invalidate"), F.col("seq"))
-    first = F.min(bad).over(Window.partitionBy("stream_id"))
-    latched = (F.col("seq") > first) & ~F.col("v").isin("preserve:disjoint_columns", "preserve:unrelated_relation") & F.col("early").isNull()
+    ev = cut(ev.drop("old", "new"))
+    firsts = ev.groupBy(F.col("stream_id").alias("_stream")).agg(F.min(bad).alias("_first")).where("_first is not null")
+    ev = ev.join(firsts, F.col("stream_id").eqNullSafe(F.col("_stream")), "left")  # a row for each stream that has one
+    latched = (F.col("seq") > F.col("_first")) & ~F.col("v").isin("preserve:disjoint_columns", "preserve:unrelated_relation") & F.col("early").isNull()
     ev = ev.withColumn("_latched", F.coalesce(latched, F.lit(False)))
     ev = ev.withColumn("v", F.when(F.col("_latched"), "invalidate:missing_join_auxiliary_state").otherwise(F.col("v")))
     out = ev.select("seq", "event_id", "relation", "operation", F.split("v", ":", 2)[0].alias("decision"), F.split("v", ":", 2)[1].alias("reason"))
     repaired = out.where("decision = 'repair'").select(F.col("seq").alias("_r"))
-    return out, per_group.join(repaired, F.col("seq") == F.col("_r"), "left_semi").select("seq", *groups, "sum_val", "n", "rows")
+    given = per_group.join(repaired, F.col("seq") == F.col("_r"), "left_semi")
+    return out, given.select("seq", *[V.key_of_column(given, g).alias(g) for g in groups], "sum_val", "n", "rows")
 
 
 def merge_join(shape: JoinShape, state: DataFrame, deltas: DataFrame) -> DataFrame:
     """The state with deltas added; groups without rows go, but an ungrouped result keeps its row."""
-    groups = [f"g{i}" for i in range(len(shape.group_cols))]
-    both = state.select(*groups, "sum_val", "n", "rows").unionByName(deltas.select(*groups, "sum_val", "n", "rows"))
-    out = both.groupBy(*groups).agg(F.try_sum("sum_val").cast(_SUM).alias("sum_val"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    return out.where("rows <> 0") if groups else out
+    return merge(shape, state, deltas)
 
 
-def maintain_join(shape: JoinShape, seeds: dict[str, DataFrame], state: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    certified, deltas = certify_join(shape, seeds, events)
+def maintain_join(shape: JoinShape, seeds: dict[str, DataFrame], state: DataFrame, events: DataFrame, checked: bool = False) -> tuple[DataFrame, DataFrame]:
+    certified, deltas = certify_join(shape, seeds, events, checked)
     return certified, merge_join(shape, state, deltas)
+
+
+def maintain_join_or_rebuild(shape: JoinShape, seeds: dict[str, DataFrame], state: DataFrame, events: DataFrame, tables_after: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, bool]:
+    """As maintain_join, but recompute from the tables after the batch if any event invalidates."""
+    certified, deltas = certify_join(shape, seeds, events)
+    if certified.where("decision in ('invalidate', 'unsupported')").isEmpty():
+        return certified, merge_join(shape, state, deltas), False
+    return certified, cold_join_state(shape, tables_after), True

@@ -2,48 +2,52 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..plans.shapes import QueryShape, cold_state
-from .certify import certify, contribution
+from ..plans.shapes import JoinShape, QueryShape, cold_state, sum_type
+from .certify import Names, certify, staged
+
 
-_SUM = f"decimal(38,{V.SCALE})"
+def _added(kind: str) -> list[Column]:
+    """Statistics of a group added up; a sum is NULL if it doesn't fit, or if one of its parts is."""
+    total = F.when(F.count("sum_val") == F.count(F.lit(1)), F.try_sum("sum_val").cast(kind))
+    return [total.alias("sum_val"), F.sum("n").alias("n"), F.sum("rows").alias("rows")]
 
 
 def deltas(certified: DataFrame, shape: QueryShape) -> DataFrame:
     """Group state deltas (g0.. as text, sum_val, n, rows) of the repaired events: minus the old image, plus the new."""
+    n = Names(shape)
+    repairs = staged(certified.where("decision = 'repair'").select("old", "new"), n.values("old", "new"), n.keys(), n.contributions())
     sides = []
-    for name, sign in (("old", -1), ("new", 1)):
-        img = F.col(name)
-        inside, total, some = contribution(shape, img)
-        groups = [V.key_text(img, c).alias(f"g{i}") for i, c in enumerate(shape.group_cols)]
-        present = F.coalesce(F.size(F.map_keys(img)), F.lit(0)) > 0
-        ok = (F.col("decision") == "repair") & present & inside
-        sides.append(F.when(ok, F.struct(*groups, (F.lit(sign) * total).cast(_SUM).alias("sum_val"), (F.lit(sign) * some).cast("long").alias("n"), F.lit(sign).cast("long").alias("rows"))))
-    one = certified.select(F.explode(F.array_compact(F.array(*sides))).alias("d"))
+    for s, img, sign in (("o", "old", -1), ("n", "new", 1)):
+        groups = "".join(f"{n.key(s)(c)} as g{i}, " for i, c in enumerate(shape.group_cols))
+        one = f"struct({groups}{"-" if sign < 0 else ""}_{s}sum as sum_val, cast(if(_{s}some, {sign}, 0) as bigint) as n, cast({sign} as bigint) as rows)"
+        sides.append(f"if(coalesce(size(map_keys({img})), 0) > 0 and _{s}in, {one}, null)")
+    one = repairs.select(F.explode_outer(F.expr(f"array({', '.join(sides)})")).alias("d")).where("d is not null")
     groups = [f"g{i}" for i in range(len(shape.group_cols))]
-    return one.select("d.*").groupBy(*groups).agg(F.try_sum("sum_val").cast(_SUM).alias("sum_val"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-
+    return one.select("d.*").groupBy(*groups).agg(*_added(shape.sum_kind))
 
-def _as_text(state: DataFrame, groups: list[str]) -> DataFrame:
-    """Group columns as the text that images give them; the types come back after the merge."""
-    return state.withColumns({g: V.key_text(V.image(state, {"k": F.col(g)}), "k") for g in groups}) if groups else state
 
+def merge(shape: QueryShape | JoinShape, state: DataFrame, changes: DataFrame) -> DataFrame:
+    """Add deltas (groups as text) to a state, in one aggregation over both. A grouped shape drops groups without
+    rows; an ungrouped one keeps its row.
 
-def merge(shape: QueryShape, state: DataFrame, changes: DataFrame) -> DataFrame:
-    """Add deltas to a state, in one aggregation over both. A grouped shape drops groups without rows; an ungrouped one keeps its row.
-
-    A sum beyond 38 digits comes out NULL, which overflowed() reports; it is never wrong.
+    The state's types decide: a sum that they can't hold exactly comes out NULL, which overflowed() reports, and a
+    group that is none of its column's type raises; certification for the fitted shape lets neither through.
     """
     groups = [f"g{i}" for i in range(len(shape.group_cols))]
-    kinds = {g: state.schema[g].dataType for g in groups}
-    both = _as_text(state, groups).select(*groups, "sum_val", "n", "rows").unionByName(changes.select(*groups, "sum_val", "n", "rows"))
-    out = both.groupBy(*groups).agg(F.try_sum("sum_val").cast(_SUM).alias("sum_val"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    kind = state.schema["sum_val"].dataType.simpleString()
+    own = state.select(*[V.key_of_column(state, g).alias(g) for g in groups], "sum_val", "n", "rows")
+    exact = F.col("sum_val").try_cast(kind)
+    theirs = changes.select(*groups, F.when(exact == F.col("sum_val"), exact).alias("sum_val"), "n", "rows")
+    out = own.unionByName(theirs).groupBy(*groups).agg(*_added(kind))
     if groups:
         out = out.where("rows <> 0")
-    return out.select(*[F.col(g).cast(kinds[g]).alias(g) for g in groups], "sum_val", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("rows", F.lit(0)).alias("rows"))
+    return out.select(*[V.read_key(g, state.schema[g].dataType).alias(g) for g in groups], "sum_val", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def overflowed(state: DataFrame) -> DataFrame:
@@ -53,6 +57,7 @@ def overflowed(state: DataFrame) -> DataFrame:
 
 def maintain(shape: QueryShape, state: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Certificates of the events, and the state after the repairs among them."""
+    shape = shape.fitted(state)
     certified = certify(events, shape)
     return certified, merge(shape, state, deltas(certified, shape))
 
@@ -74,33 +79,39 @@ def from_group_state(shape: QueryShape, rows: DataFrame) -> DataFrame:
     groups = [F.col(named.get(f"g{i}", c)).alias(f"g{i}") for i, c in enumerate(shape.group_cols)]
     n = pick("n", "non_null_count", "__non_null_count")
     total = pick("rows", "row_count", "__row_count")
-    out = rows.select(*groups, F.coalesce(pick("sum_val", "sum", "__sum_val"), F.lit(0)).cast(_SUM).alias("sum_val"), n.cast("long").alias("n"), F.coalesce(total, n).cast("long").alias("rows"))
+    out = rows.select(*groups, total_of(rows, next((named[c] for c in ("sum_val", "sum", "__sum_val") if c in named), None)).alias("sum_val"), n.cast("long").alias("n"), F.coalesce(total, n).cast("long").alias("rows"))
     if not out.where("n is null or n < 0 or n > rows").isEmpty():
         raise ValueError("group state needs 0 <= n <= rows")
     return out.where("rows > 0") if groups else out
 
 
-def poke(state: DataFrame, group: dict[str, object], amount: Column | int, rows: int = 1) -> DataFrame:
-    """Add to (or with negative numbers take from) one group by hand."""
-    match = V.all_of([F.col(g).eqNullSafe(F.lit(v)) for g, v in group.items()])
-    return state.withColumns(
-        {"sum_val": F.when(match, F.col("sum_val") + F.lit(amount)).otherwise(F.col("sum_val")).cast(_SUM), "n": F.when(match, F.col("n") + rows).otherwise(F.col("n")), "rows": F.when(match, F.col("rows") + rows).otherwise(F.col("rows"))}
-    )
+def total_of(rows: DataFrame, column: str | None) -> Column:
+    """A stored sum in its exact type; 0 where there is none."""
+    kind = sum_type(rows.schema[column].dataType if column else None, column or "")
+    return F.coalesce(F.col(column).cast(kind) if column else F.lit(None).cast(kind), F.lit(0).cast(kind))
+
+
+def poke(shape: QueryShape, state: DataFrame, group: dict[str, object], amount: Decimal | int, rows: int = 1) -> DataFrame:
+    """Add to (or with negative numbers take from) one group by hand; a new group appears, one without rows goes."""
+    keys = {g: F.lit(None if v is None else format(v, "f") if isinstance(v, Decimal) else str(v)).cast("string") for g, v in group.items()}
+    kind = state.schema["sum_val"].dataType
+    one = state.sparkSession.range(1).select(*[keys[g].alias(g) for g in sorted(keys)], F.lit(str(amount)).try_cast(kind).alias("sum_val"), F.lit(rows).cast("long").alias("n"), F.lit(rows).cast("long").alias("rows"))
+    return merge(shape, state, one)
 
 
 def apply_changes(table: DataFrame, events: DataFrame, key: str) -> DataFrame:
     """The table after the events: the last image of each key wins, deleted keys go, a truncate drops what came before.
 
-    Columns that an update's image doesn't have keep their value.
+    Columns that an update's image doesn't have keep their value. Raises for a value that is none of its column's type.
     """
     from pyspark.sql import Window
 
     cut = events.where(F.upper("op") == "TRUNCATE").agg(F.max("seq").alias("cut"))
-    k = lambda img: V.key_text(F.col(img), key)
+    k = lambda img: V.key_text(img, key)
     ev = events.where(F.coalesce(F.upper("op"), F.lit("")) != "TRUNCATE").withColumn("k", F.coalesce(k("new"), k("old"))).where("k is not null")
     moved = ev.where(k("old").isNotNull() & k("new").isNotNull() & (k("old") != k("new"))).select(k("old").alias("k"), "seq", F.lit(None).cast(V.IMAGE).alias("new"))
     ev = ev.select("k", "seq", "new").union(moved)
-    seed = table.select(V.key_text(V.image(table, {"k": F.col(key)}), "k").alias("k"), F.lit(-1).cast("long").alias("seq"), V.image(table, {c: F.col(c) for c in table.columns}).alias("new"))
+    seed = table.select(V.key_of_column(table, key).alias("k"), F.lit(-1).cast("long").alias("seq"), V.image(table, {c: c for c in table.columns}).alias("new"))
     every = seed.union(ev).crossJoin(F.broadcast(cut)).where("cut is null or seq > cut")  # cut is one row
     w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     gone = F.max(F.when(F.coalesce(F.size(F.map_keys("new")), F.lit(0)) <= 0, F.col("seq"))).over(w)
@@ -110,4 +121,4 @@ def apply_changes(table: DataFrame, events: DataFrame, key: str) -> DataFrame:
         last = F.max_by(F.col("new")[f.name], F.when(V.has(F.col("new"), f.name), F.col("seq")))
         cols.append(last.alias(f.name))
     out = every.groupBy("k").agg(*cols)
-    return out.select(*[F.col(f.name)["v"].cast(f.dataType).alias(f.name) for f in table.schema])
+    return out.select(*[V.read_key(F.col(f.name)["v"], f.dataType).alias(f.name) for f in table.schema])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..plans.shapes import QueryShape
-from .certify import certify
+from .certify import certify_all
 
 
 class StoreApplicationError(RuntimeError):
@@ -95,11 +95,7 @@ class RedisStore(MemoryStore):
 
 def receipts(events: DataFrame, shapes: list[QueryShape]) -> DataFrame:
     """Certificates of every event against every shape, in one pass over the events."""
-    out = None
-    for s in shapes:
-        one = certify(events, s).select("seq", "event_id", V.normalize_relation(F.col("relation")).alias("relation"), F.lit(s.name or s.relation).alias("shape"), "operation", "decision", "reason", "clock")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return certify_all(events, shapes).drop("cols")
 
 
 def conflicting(stored: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import values as V
 
@@ -14,14 +15,19 @@ AGGREGATES = ("sum", "count", "count_star", "avg")
 OPS = {"=", "!=", "<>", "<", "<=", ">", ">="}
 
 
-def literal(value) -> Column:
-    if isinstance(value, Decimal):
-        return F.lit(str(value)).cast(f"decimal(38,{V.SCALE})")
-    return F.lit(value)
-
-
-def compare(left: Column, op: str, right: Column) -> Column:
-    return {"=": left == right, "!=": left != right, "<>": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
+def typed_sql(column: str, kind: T.DataType, op: str, value) -> str:
+    """column op value over a typed column, in a form that the scan can take where it stays exact."""
+    if isinstance(value, str):
+        return f"{column} {op} {V.text_sql(value)}"
+    if not isinstance(kind, (T.IntegralType, T.DecimalType)):
+        return f"{column} {op} {value}"
+    number = Decimal(str(value))
+    places = max(0, -number.as_tuple().exponent)
+    own, scale = (kind.precision - kind.scale, kind.scale) if isinstance(kind, T.DecimalType) else (19, 0)
+    whole = max(own, len(number.as_tuple().digits) - places, 1)
+    if whole + max(scale, places) > 38:  # a common type would round
+        return V.compare_sql(V.canonical_sql(f"cast({column} as string)"), op, number)
+    return f"{column} {op} cast({V.text_sql(format(number, 'f'))} as decimal({whole + places},{places}))"
 
 
 @dataclass(frozen=True)
@@ -39,24 +45,22 @@ class Predicate:
     def columns(self) -> frozenset[str]:
         return frozenset(c for c, _, _ in self.terms)
 
-    def on_rows(self) -> Column:
+    def on_rows(self, rows: DataFrame) -> Column:
         """The condition over typed columns."""
-        return V.all_of([F.coalesce(compare(F.col(c), op, literal(v)), F.lit(False)) for c, op, v in self.terms])
+        return F.expr(V.all_sql([typed_sql(V.quoted(c), rows.schema[c].dataType, op, v) for c, op, v in self.terms]))
 
-    def on_image(self, img: Column) -> Column:
-        out = []
-        for c, op, v in self.terms:
-            left = V.text(img, c) if isinstance(v, str) else V.number(img, c)
-            out.append(F.coalesce((V.tag(img, c) != "null") & compare(left, op, literal(v)), F.lit(False)))
-        return V.all_of(out)
+    def on_keys(self, key_of) -> str:
+        """The condition as SQL over the columns' key texts, key_of(column)."""
+        return V.all_sql([f"coalesce({V.compare_sql(key_of(c), op, v)}, false)" for c, op, v in self.terms])
 
-    def mistyped(self, img: Column) -> Column:
+    def mistyped(self, value_of) -> str:
         """Operands that can't be compared exactly: floats, booleans, and texts against numbers or the reverse."""
-        bad = []
-        for c, _, v in self.terms:
-            ok = ("str", "null") if isinstance(v, str) else ("int", "dec", "null")
-            bad.append(V.has(img, c) & ~V.tag(img, c).isin(*ok))
-        return V.any_of(bad)
+        kind = lambda v: "('str', 'null')" if isinstance(v, str) else "('int', 'dec', 'null')"
+        return V.any_sql([f"{value_of(c)}.t not in {kind(v)}" for c, _, v in self.terms])
+
+
+#: What a column does for a shape. Those of the evidence must be in the images for a repair.
+READ, JOIN, FILTER, GROUP, SECURITY = "read", "join", "filter", "group", "security"
 
 
 @dataclass(frozen=True)
@@ -75,27 +79,38 @@ class QueryShape:
     unsupported_reason: str = ""
     predicate_cols: frozenset[str] = frozenset()  # columns of a predicate whose terms aren't known
     join_cols: frozenset[str] = frozenset()
+    kinds: tuple[tuple[str, str], ...] = ()  # types that evidence must fit, where the stored state has some
 
     @property
     def unparsed_predicate(self) -> bool:
         return bool(self.predicate_cols - self.predicate.columns)
 
-    def dependencies(self) -> dict[str, frozenset[str]]:
-        agg = frozenset([self.agg_col]) if self.agg_col else frozenset()
-        return {
-            "read_cols": self.projection_cols | agg,
-            "join_keys": self.join_cols,
-            "filter_cols": self.predicate.columns | self.predicate_cols,
-            "group_cols": frozenset(self.group_cols),
-            "security_cols": self.security_cols,
-        }
+    def uses(self) -> list[tuple[str, str, bool]]:
+        """(column, role, whether a repair needs it), the one table that all sets of columns come from."""
+        out = [(c, READ, False) for c in self.projection_cols] + [(c, JOIN, False) for c in self.join_cols]
+        out += [(c, GROUP, True) for c in self.group_cols] + [(c, SECURITY, False) for c in self.security_cols]
+        out += [(c, FILTER, True) for c in (*self.predicate.columns, *self.predicate_cols)]
+        return out + ([(self.agg_col, READ, True)] if self.agg_col else [])
+
+    def columns(self, role: str | None = None, needed: bool | None = None) -> frozenset[str]:
+        return frozenset(c for c, r, n in self.uses() if role in (None, r) and needed in (None, n))
 
     def fingerprint(self) -> frozenset[str]:
-        return frozenset().union(*self.dependencies().values())
+        return self.columns()
 
     def required_evidence(self) -> frozenset[str]:
-        agg = frozenset([self.agg_col]) if self.agg_col else frozenset()
-        return agg | frozenset(self.group_cols) | self.predicate.columns | self.predicate_cols
+        return self.columns(needed=True)
+
+    @property
+    def sum_kind(self) -> str:
+        """The type in which values are added up."""
+        return dict(self.kinds).get("sum_val", f"decimal(38,{V.SCALE})")
+
+    def fitted(self, state: DataFrame) -> QueryShape:
+        """This shape for a stored state: evidence beyond the types of its groups and sum is refused."""
+        kinds = {f.name: f.dataType.simpleString() for f in state.schema}
+        own = [(c, kinds[f"g{i}"]) for i, c in enumerate(self.group_cols)]
+        return replace(self, kinds=(*own, ("sum_val", kinds["sum_val"])))
 
 
 @dataclass(frozen=True)
@@ -158,11 +173,23 @@ class Admission:
 # ---------------------------------------------------------------- cold evaluation
 
 
-def sufficient(agg_fn: str, value: Column | None) -> list[Column]:
-    """Sum, number of values and number of rows: what SUM, COUNT and AVG are maintained from."""
-    number = value.cast(f"decimal(38,{V.SCALE})") if value is not None and agg_fn in ("sum", "avg") else F.lit(None).cast(f"decimal(38,{V.SCALE})")
-    some = F.count(value) if value is not None else F.count(F.lit(1))
-    return [F.coalesce(F.sum(number), F.lit(0)).cast(f"decimal(38,{V.SCALE})").alias("sum_val"), some.alias("n"), F.count(F.lit(1)).alias("rows")]
+def sum_type(kind: T.DataType | None, what: str = "") -> str:
+    """The exact type of a column's sum: its own scale, and as many digits as there are. Floats have none."""
+    if kind is None or isinstance(kind, T.IntegralType):
+        return "decimal(38,0)"
+    if isinstance(kind, T.DecimalType):
+        return f"decimal(38,{kind.scale})"
+    raise ValueError(f"{what} is {kind.simpleString()}, of which there is no exact sum: cast it to a decimal")
+
+
+def sufficient(agg_fn: str, value: str | None, rows: DataFrame) -> list[Column]:
+    """Sum, number of values and number of rows: what SUM, COUNT and AVG are maintained from. A sum that doesn't fit is NULL."""
+    some = F.count(F.col(value)) if value is not None else F.count(F.lit(1))
+    if value is None or agg_fn not in ("sum", "avg"):
+        return [F.lit(0).cast("decimal(38,0)").alias("sum_val"), some.alias("n"), F.count(F.lit(1)).alias("rows")]
+    kind = sum_type(rows.schema[value].dataType, value)
+    total = F.try_sum(F.col(value).cast(kind)).cast(kind)
+    return [F.when(some > 0, total).otherwise(F.lit(0).cast(kind)).alias("sum_val"), some.alias("n"), F.count(F.lit(1)).alias("rows")]
 
 
 def displayed(agg_fn: str) -> Column:
@@ -181,9 +208,9 @@ def cold_state(shape: QueryShape, rows: DataFrame) -> DataFrame:
     absent = shape.required_evidence() - set(rows.columns)
     if absent:
         raise ValueError(f"{shape.relation} lacks {sorted(absent)}")
-    kept = rows.where(shape.predicate.on_rows())
+    kept = rows.where(shape.predicate.on_rows(rows))
     groups = [F.col(c).alias(f"g{i}") for i, c in enumerate(shape.group_cols)]
-    return kept.groupBy(*groups).agg(*sufficient(shape.agg_fn, F.col(shape.agg_col) if shape.agg_col else None))
+    return kept.groupBy(*groups).agg(*sufficient(shape.agg_fn, shape.agg_col, rows))
 
 
 def values(shape: QueryShape | JoinShape, state: DataFrame) -> DataFrame:

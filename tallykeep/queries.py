@@ -195,7 +195,7 @@ FROM orders GROUP BY 1""",
 def _(s, d):
     o = orders(s, d)
     k = F.col("o_orderkey") % 3
-    old = V.image(o, {c: F.col(c) for c in ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")})
+    old = V.image(o, {c: c for c in ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")})
     new = V.image(o.withColumn("p", F.col("o_totalprice") + F.when(k == 1, 0).otherwise(1)), {"o_orderkey": F.col("o_orderkey"), "o_orderstatus": F.col("o_orderstatus"), "o_totalprice": F.col("p"), "o_orderpriority": F.lit("x")})
     o = o.withColumn("p", F.col("o_totalprice") + F.when(k == 1, 0).otherwise(1))
     new = V.image(o, {"o_orderkey": F.col("o_orderkey"), "o_orderstatus": F.col("o_orderstatus"), "o_totalprice": F.col("p"), "o_orderpriority": F.lit("x")})
@@ -267,7 +267,7 @@ def _(s, d):
 
 def _customer_moves(s, d) -> DataFrame:
     c = _tables(s, d)["customer"].where("c_custkey % 11 = 0").withColumn("to", (F.col("c_nationkey") + 1) % 25)
-    old = V.image(c, {x: F.col(x) for x in ("c_custkey", "c_nationkey", "c_mktsegment")})
+    old = V.image(c, {x: x for x in ("c_custkey", "c_nationkey", "c_mktsegment")})
     new = V.image(c, {"c_custkey": F.col("c_custkey"), "c_nationkey": F.col("to").cast("int"), "c_mktsegment": F.col("c_mktsegment")})
     return as_events(c, "customer", F.col("c_custkey") + 1_000_000_000, F.lit("UPDATE"), old, new)
 
@@ -289,13 +289,13 @@ def _(s, d):
 def _(s, d):
     shape, t = _join_shape(SNOWFLAKE_SQL), _tables(s, d)
     r = t["region"].where("r_regionkey = 1")
-    ev = as_events(r, "region", F.lit(1), F.lit("UPDATE"), V.image(r, {c: F.col(c) for c in r.columns}), V.image(r, {"r_regionkey": F.col("r_regionkey"), "r_name": F.lit("RENAMED")}))
+    ev = as_events(r, "region", F.lit(1), F.lit("UPDATE"), V.image(r, {c: c for c in r.columns}), V.image(r, {"r_regionkey": F.col("r_regionkey"), "r_name": F.lit("RENAMED")}))
     return _total(J.maintain_join(shape, t, J.cold_join_state(shape, t), ev)[1], "r_name")
 
 
 def _customer_deletes(s, d) -> DataFrame:
     c = _tables(s, d)["customer"].where("c_custkey % 13 = 0")
-    return as_events(c, "customer", F.col("c_custkey"), F.lit("DELETE"), V.image(c, {x: F.col(x) for x in c.columns}), F.lit(None).cast(V.IMAGE))
+    return as_events(c, "customer", F.col("c_custkey"), F.lit("DELETE"), V.image(c, {x: x for x in c.columns}), F.lit(None).cast(V.IMAGE))
 
 
 @query("ivm_left_join_dim_delete", "SELECT c_mktsegment, COUNT(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 13 <> 0) ON o_custkey = c_custkey GROUP BY 1")
@@ -357,7 +357,7 @@ def _(s, d):
 
 def _wire(s, d) -> DataFrame:
     o = orders(s, d)
-    return as_events(o, "orders", F.col("o_orderkey"), F.lit("INSERT"), F.lit(None).cast(V.IMAGE), V.image(o, {c: F.col(c) for c in o.columns}))
+    return as_events(o, "orders", F.col("o_orderkey"), F.lit("INSERT"), F.lit(None).cast(V.IMAGE), V.image(o, {c: c for c in o.columns}))
 
 
 BACK = "SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(12,2)) AS o_totalprice FROM orders"
@@ -428,7 +428,7 @@ def _advised(s, d) -> tuple[DataFrame, list[QueryShape]]:
     k = F.col("event_id") % 4
     e = e.withColumn("v2", F.when(k == 0, F.col("value") + 1).otherwise(F.col("value")).cast("decimal(12,2)")).withColumn("t2", F.when(k == 1, F.lit("other")).otherwise(F.col("event_type"))).withColumn("p2", F.when(k >= 2, F.lit("{}")).otherwise(F.col("props")))
     cols = ("event_id", "user_id", "event_type", "value", "props")
-    old = V.image(e, {c: F.col(c) for c in cols})
+    old = V.image(e, {c: c for c in cols})
     new = V.image(e, {"event_id": F.col("event_id"), "user_id": F.col("user_id"), "event_type": F.col("t2"), "value": F.col("v2"), "props": F.col("p2")})
     shapes = [
         QueryShape("events", "sum", "value", ("event_type",), name="sum_by_type"),

@@ -311,3 +311,64 @@ def test_retention(spark):
     rows = {(r["name"], r["policy"], r["max_rows"]): r for r in policy_sweep(spark).where("name in ('budget', 'shared', 'separate')").collect()}
     assert all(r["wrong"] == 0 for r in rows.values()) and rows["budget", "fifo", None]["invalidate"] == 0
     assert rows["shared", "wtinylfu", 66]["evicted"] <= rows["separate", "wtinylfu", 66]["evicted"]
+
+
+def test_numbers_are_exact(spark):
+    """Evidence beyond any scale is told apart, compared and grouped exactly, and refused where it can't be added up."""
+    dec = lambda v: {"t": "dec", "v": v}
+    change = lambda a, b, c="amount": [{"old": {**img(**FULL), c: a}, "new": {**img(**FULL), c: b}}]
+    reason = lambda shape, ev: certify(events(spark, ev), shape).first()["reason"]
+    by_sum = QueryShape("orders", "sum", "amount")
+    assert reason(by_sum, change(dec("1.0000001"), dec("1.0000004"))) == "value_change"
+    assert reason(by_sum, change(dec("1.00"), {"t": "int", "v": "1"})) == "disjoint_columns"
+    assert reason(by_sum, change(dec("1"), dec("0." + "0" * 30 + "1"))) == "invalid_evidence_type"
+    assert reason(by_sum, change(dec("1"), dec("1E+3"))) == "invalid_evidence_type"
+    above = QueryShape("orders", "count_star", None, (), Predicate((("amount", ">", 1),)))
+    assert reason(above, change({"t": "int", "v": "1"}, dec("1." + "0" * 40 + "4"))) == "predicate_entry"
+    assert reason(above, change(dec("-" + "9" * 45), dec("9" * 45))) == "predicate_entry"
+    for op, value, yes, no in ((">", "-1.5", "-1.49999999999", "-1.50000000001"), ("<=", "0", "-0.00", "0.0000001"), ("<", "-2", "-10", "-2.0"), ("=", "12.30", "12.3", "12.30000001"), (">=", "100", "100.0", "99.999"), ("!=", "5", "-5", "5.000")):
+        from decimal import Decimal
+
+        shape = QueryShape("orders", "count_star", None, (), Predicate((("amount", op, Decimal(value)),)))
+        assert reason(shape, change(dec(no), dec(yes))) == "predicate_entry", (op, value)
+        rows = spark.createDataFrame([(yes,), (no,)], "a string").selectExpr("cast(a as decimal(38,11)) as amount")
+        assert cold_state(shape, rows).first()["rows"] == 1, (op, value)
+    # keys of 35 digits and values of 9 places, through a whole maintenance
+    key, big = "1" * 35, "2" * 35
+    seed = spark.createDataFrame([(key, "0.000000004"), (key, "0.000000004"), (big, "1.000000001")], "k string, v string").selectExpr("cast(k as decimal(38,0)) as k", "cast(v as decimal(20,9)) as v")
+    shape = QueryShape("orders", "sum", "v", ("k",))
+    state = cold_state(shape, seed)
+    assert {str(r["g0"]): str(r["sum_val"]) for r in state.collect()} == {key: "8E-9", big: "1.000000001"}
+    row = lambda k, v: {"k": {"t": "int", "v": k}, "v": dec(v)}
+    ev = events(spark, [{"old": row(key, "0.000000004"), "new": row(big, "0.000000005")}, {"new": row("3" * 35, "-7.5")}, {"new": row("4" * 39, "1")}, {"new": row(key, "0.0000000001")}, {"new": row("5.5", "1")}])
+    certified, after = maintain(shape, state, ev)
+    assert [r["reason"] for r in certified.orderBy("seq").collect()] == ["group_move", "insert", *["invalid_evidence_type"] * 3]
+    assert {str(r["g0"]): float(r["sum_val"]) for r in after.collect()} == {key: 4e-9, big: 1.000000006, "3" * 35: -7.5}
+    with pytest.raises(ValueError):
+        cold_state(QueryShape("t", "sum", "f"), spark.createDataFrame([(1.5,)], "f double"))
+
+
+def test_joins_fail_closed(spark):
+    """Evidence that isn't exactly of its column's type invalidates, and repeated keys raise."""
+    from decimal import Decimal
+
+    shape = JoinShape("orders", "id", (JoinClause("customers", "id", ("orders", "cid")),), "sum", ("orders", "amount"), (("customers", "tier"),), ((("orders", "n"), ">", 3),))
+    seeds = {"orders": spark.createDataFrame([(1, 1, Decimal("5.00"), 4)], "id long, cid long, amount decimal(12,2), n int"), "customers": spark.createDataFrame([(1, "a")], "id long, tier string")}
+    order = lambda **k: {"op": "INSERT", "new": img(**{"id": 7, "cid": 1, "amount": "$1.00", "n": 9, **k})}
+    cases = [(order(n="abc"), "invalid_evidence_type"), (order(amount="$1.005"), "invalid_evidence_type"), (order(cid=10**30), "invalid_evidence_type"), (order(cid=1.0), "invalid_evidence_type"), (order(n=2**40), "invalid_evidence_type"), (order(amount="$1.500"), "insert"), ({"relation": "customers", "op": "INSERT", "new": img(id=5, tier=6)}, "invalid_evidence_type")]
+    for case, reason in cases:
+        got, deltas = J.certify_join(shape, seeds, events(spark, [case]), checked=True)
+        assert got.first()["reason"] == reason, case
+    assert J.cold_join_state(shape, seeds).first()["sum_val"] == 5
+    with pytest.raises(ValueError, match="customers.id"):
+        J.certify_join(shape, {**seeds, "customers": spark.createDataFrame([(1, "a"), (1, "b")], "id long, tier string")}, events(spark, [order()]))
+    _, again, rebuilt = J.maintain_join_or_rebuild(shape, seeds, J.cold_join_state(shape, seeds), events(spark, [order(n="x")]), seeds)
+    assert rebuilt and again.first()["sum_val"] == 5
+
+
+def test_plan_of_many_shapes_stays_small(spark):
+    from tallykeep.operators.advisor import decisions
+
+    shapes = [QueryShape("orders", "sum", "amount", (f"g{i}",), Predicate((("status", "=", "paid"), ("amount", ">", i))), name=f"s{i}") for i in range(4)]
+    plan = decisions(events(spark, [{}]), shapes)._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("Scan") == 1 and len(plan.optimizedPlan().toString()) < 120_000
