@@ -115,7 +115,12 @@ def _placed(sized: DataFrame, rows: DataFrame, limit: int) -> tuple[DataFrame, D
 
 
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Write the documents with one folder for each shard (depth=, prefix=, page=); every row is in the page that it was dealt to."""
+    """Write the documents with one folder for each shard (depth=, prefix=, page=); every row is in the page that it was dealt to.
+
+    Rows are kept as they are, with all columns: null and empty texts, null ids and repeats too. Pages of a key
+    too large alone are folders of their own, so that no folder is over the limit unless one row is. No rows
+    write an empty folder. The columns depth, prefix and page must not be among those of docs.
+    """
     fits, over = _placed(_sized(docs, doc_id, text), _sized(docs, doc_id, text, packed_row(docs)), limit)
     place = ["depth", "prefix", "page"]
     both = fits.select("row.*", *place)
@@ -124,10 +129,10 @@ def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     both.repartition(*place).write.partitionBy(*place).parquet(path)
 
 
-def sharding_query(docs: DataFrame) -> DataFrame:
+def sharding_query(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """Write the shards, and report what is in the files read back: the columns of assign_shards."""
     path = new_path(docs.sparkSession, "shards")
-    write_shards(docs.select("doc_id", "text"), path)
+    write_shards(docs.select("doc_id", "text"), path, limit=limit)
     types = "doc_id {}, text string, depth int, prefix long, page long".format(docs.schema["doc_id"].dataType.simpleString())
     back = docs.sparkSession.read.schema(types).parquet(path)
     place = ["depth", "prefix", "page"]
@@ -136,12 +141,17 @@ def sharding_query(docs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(total), place).select("doc_id", *place, "bytes", "shard_bytes")
 
 
-SHARDING_SQL = f"""
+def sharding_sql(limit: int = SHARD_BYTES) -> str:
+    """SQL for sharding_query's rows, where no id has more bytes than the limit."""
+    return f"""
 WITH d AS (
   SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes
   FROM documents
 ), l AS (SELECT doc_id, h, bytes, CAST(k AS INTEGER) AS depth, h >> (60 - k) AS prefix FROM d, range(0, 21) t(k)),
-s AS (SELECT depth, prefix, sum(bytes) AS total FROM l GROUP BY ALL HAVING sum(bytes) <= {SHARD_BYTES}),
+s AS (SELECT depth, prefix, sum(bytes) AS total FROM l GROUP BY ALL HAVING sum(bytes) <= {limit}),
 b AS (SELECT l.*, total, row_number() OVER (PARTITION BY doc_id, h ORDER BY l.depth) AS r FROM l JOIN s USING (depth, prefix))
 SELECT doc_id, depth, prefix, CAST(0 AS BIGINT) AS page, bytes, CAST(total AS BIGINT) AS shard_bytes FROM b WHERE r = 1
 """
+
+
+SHARDING_SQL = sharding_sql()

@@ -111,10 +111,13 @@ def parse_record(data: bytes) -> tuple | None:
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    block = rest[: int(fields.get("content-length", 0))]
+    length = fields.get("content-length", "")
+    block = rest[: int(length)] if length.isdigit() else rest.removesuffix(b"\r\n\r\n")
     http, _, payload = block.partition(b"\r\n\r\n")
-    size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
-    kind = fields.get("warc-type", "")
+    kind, size = fields.get("warc-type", ""), len(payload)
+    if kind == "revisit":  # the payload is elsewhere; only its header tells the length
+        told = next((x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
+        size = int(told) if told.isdigit() else size
     return (
         fields.get("warc-record-id", "").strip("<>"),
         kind,

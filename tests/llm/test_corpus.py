@@ -15,12 +15,13 @@ from tokenizers import Tokenizer
 from tallykeep.llm import packing, sketch, warc
 from tallykeep.llm.embeddings import embedding_groups
 from tallykeep.llm.fm_index import FMIndex
-from tallykeep.llm.language import identify_languages
+from tallykeep.llm.embeddings import EMBEDDINGS_SQL
+from tallykeep.llm.language import Grams, identify_languages, product
 from tallykeep.llm.lines import common_blocks, dedup_lines, patience_matches
-from tallykeep.llm.mixing import TARGETS, label_domains, mix, mix_documents
+from tallykeep.llm.mixing import TARGETS, label_domains, mix, mix_documents, rates, solve
 from tallykeep.llm.near_copies import keep_first_copies
 from tallykeep.llm.queries import ORACLE_SQL, QUERIES, TOKENIZER
-from tallykeep.llm.sharding import assign_shards, write_shards
+from tallykeep.llm.sharding import assign_shards, sharding_query, sharding_sql, write_shards
 from tallykeep.llm.simhash import fingerprint, fingerprint_links, keep_representatives, simhash_groups, simhash_query
 from tallykeep.llm.substring import remove_repeats
 
@@ -460,3 +461,110 @@ def test_written_shards_keep_the_limit_for_a_hot_key(spark, tmp_path):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in back.collect()))) == sorted(map(str, rows))
     size = back.groupBy("depth", "prefix", "page").agg(F.sum(F.octet_length("text")).alias("bytes"))
     assert size.where("bytes > 1000").isEmpty() and size.where("page > 0").count() >= 12
+
+
+def test_sharding_matches_sql_where_buckets_split(spark):
+    limit, big = 160 << 10, "/root/testdata/sf0.01/documents.parquet"
+    got = [tuple(r) for r in sharding_query(spark.read.parquet(big), limit).select("doc_id", "depth", "prefix", "page", "bytes", "shard_bytes").collect()]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{big}'")
+    assert sorted(got) == sorted(con.sql(sharding_sql(limit)).fetchall()) and len({r[1:3] for r in got}) > 8 and len({r[1] for r in got}) > 1
+
+
+def test_embeddings_match_sql_where_vectors_link(spark, tmp_path):
+    """Planted near copies at a cosine of 0.98 to 0.985, beside the given vectors: no false link, and hardly one lost."""
+    given = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rng, rows = np.random.default_rng(4), []
+    for r in given.where("label is not null").orderBy("vec_id").limit(400).collect():
+        v = np.array(r["embedding"], float)
+        w = rng.standard_normal(len(v))
+        w -= v * (w @ v) / (v @ v)
+        c = rng.uniform(0.9802, 0.985)
+        new = c * v / np.linalg.norm(v) + np.sqrt(1 - c * c) * w / np.linalg.norm(w)
+        rows.append((10**7 + r["vec_id"], new.tolist(), r["label"]))
+    both = given.select("vec_id", "embedding", "label").union(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").selectExpr("vec_id", f"cast(embedding as {given.schema['embedding'].dataType.simpleString()})", f"cast(label as {given.schema['label'].dataType.simpleString()})"))
+    both.coalesce(1).write.parquet(f"{tmp_path}/v")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/v/*.parquet'")
+    rel = con.sql(EMBEDDINGS_SQL)
+    want = {r[rel.columns.index("vec_id")]: dict(zip(rel.columns, r)) for r in rel.fetchall()}
+    got = {r["vec_id"]: r for r in embedding_groups(spark.read.parquet(f"{tmp_path}/v")).collect()}
+    assert got.keys() == want.keys() and all(got[i]["n_links"] <= want[i]["n_links"] for i in want)
+    assert sum(w["n_links"] for w in want.values()) >= 790 and sum(r["n_links"] for r in got.values()) >= 0.99 * sum(w["n_links"] for w in want.values())
+
+
+def test_kernel_equals_a_dense_one():
+    """Marks are the sets of one- to three-symbol grams, with each run of other characters as one gap."""
+    texts = ["Ab ab, c!", "漢字かな交じり文", "", "Ünïcode  ÜNÏCODE", "x" * 700_000 + " y"]
+
+    def dense(t):
+        s = re.sub(r"[\W\d_]+", " ", f" {t} ".lower() if t else " ")
+        return {s[i : i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1)}
+
+    g, marks = Grams(), []
+    for t in texts:
+        assert g.mark(t) == bool(t)
+        marks.append(g.marks.copy())
+    sets = [dense(t) for t in texts]
+    assert [int(m.sum()) for m in marks if m.any()] == [len(s) for t, s in zip(texts, sets) if t]
+    marks = np.array(marks)
+    inner = product(marks, marks.T)
+    assert all(inner[i, j] == len(sets[i] & sets[j]) for i in range(5) for j in range(5) if texts[i] and texts[j])
+
+
+def test_languages_of_any_number_and_script(spark):
+    """More languages than landmarks, and two that share a script of thousands of letters."""
+    rng = random.Random(1)
+    make = lambda letters, k=60: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(k))
+    scripts = {f"l{n}": [chr(0x4E00 + 20 * n + i) for i in range(20)] for n in range(300)}
+    scripts |= {"zh": [chr(0x9000 + 2 * i) for i in range(1500)], "ja": [chr(0x9001 + 2 * i) for i in range(1500)]}
+    rows = [(10 * n + i, make(letters, 400 if lang in ("zh", "ja") else 20), lang) for n, (lang, letters) in enumerate(scripts.items()) for i in range(10)]
+    rows += [(7, make(scripts["l0"]), "l0")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r for r in identify_languages(df).collect() if r["held_out"]]
+    lang = {i: k for i, _, k in rows}
+    right = [r["lang_pred"] == lang[r["doc_id"]] for r in got]
+    assert np.mean(right) > 0.85 and all(r["lang_pred"] == lang[r["doc_id"]] for r in got if lang[r["doc_id"]] in ("zh", "ja"))
+
+
+def test_mixing_of_many_domains_and_a_repeated_id(spark, monkeypatch):
+    from tallykeep.llm import mixing
+
+    monkeypatch.setattr(mixing, "TRAIN_DOCS", 400)
+    rng = random.Random(3)
+    rows = [(n * 40 + i, " ".join(rng.choice([f"d{n}a", f"d{n}b", "all", "the"]) for _ in range(30))) for n in range(20) for i in range(40)]
+    rows += [(0, f"{rows[0][1]} {i}") for i in range(2000)]  # one labelled id with many texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(n * 40 + i, f"d{n:02}") for n in range(20) for i in range(40)], "doc_id long, domain string")
+    sample = mixing._sample(docs, labels, {f"d{n:02}": 40 for n in range(20)}, "doc_id", "text")
+    assert sample.count() < 800
+    out = mix(docs, labels, {f"d{n:02}": 1.0 for n in range(20)}, total=12_000).collect()
+    got = np.array([[r["rate"] * r["tokens"] * p for p in r["posterior"]] for r in out]).sum(0)
+    assert len(got) == 20 and np.abs(got / 600 - 1).max() < 0.01
+
+
+def test_mixing_steps_reach_a_direct_solution():
+    """Rates against a plain projected gradient run to its end, also where the targets are out of reach."""
+    rng = np.random.default_rng(7)
+    x = rng.dirichlet([0.3] * 3, 200) * rng.integers(5, 80, 200)[:, None]
+
+    def state(moves):
+        r = rates(x, moves, 4.0)
+        free = x[(r > 0) & (r < 4)]
+        return r @ x, free.T @ free
+
+    for wanted in (np.array([4000.0, 1500.0, 500.0]), np.array([9000.0, 0.0, 1.0])):
+        moves, left = solve(state, wanted, steps=200, tolerance=1e-6)
+        r = np.ones(200)
+        for _ in range(20_000):
+            r = np.clip(r - (x @ (r @ x - wanted)) / np.linalg.norm(x, 2) ** 2, 0, 4)
+        direct = np.abs((r @ x - wanted) / np.where(wanted > 0, wanted, wanted.sum())).max()
+        assert left <= max(1e-3, 1.05 * direct), (left, direct)
+
+
+def test_warc_foreign_headers():
+    from tallykeep.llm.warc import parse_record
+
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 49\r\n\r\n"
+    got = parse_record(head + b"HTTP/1.1 200 OK\r\nContent-Length: chunked\r\n\r\nabcde\r\n\r\n")
+    assert got[1] == "response" and got[6] == b"abcde" and got[5] == 5
