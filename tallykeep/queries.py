@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from .functions import design as D
 from .functions import values as V
-from .functions.synthetic import MUTATED_ORDERS, SHIFT, as_events, order_events, orders, read
+from .functions.synthetic import MUTATED_ORDERS, SHIFT, as_events, changed_orders, order_events, orders, read
 from .operators import advisor as A
 from .operators import joins as J
 from .operators.certify import certify, with_latch
 from .operators.extremum import best_window, extremum, merge_multiset, multiset, window_decisions
-from .operators.maintain import apply_changes, maintain
+from .operators.maintain import apply_changes, from_group_state, maintain, maintain_or_rebuild
 from .operators.store import effective_counts, receipts
 from .plans.admission import parse_join_sql, parse_sql
 from .plans.shapes import JoinClause, JoinShape, Predicate, QueryShape, cold_state, displayed
@@ -43,6 +43,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _values(columns: str, rows: list[tuple]) -> str:
+    """SQL for a table of fixed values."""
+    text = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({columns})"
+
+
 def _shape(sql: str) -> QueryShape:
     got = parse_sql(sql)
     if not got.is_supported:
@@ -474,13 +480,20 @@ def _(s, d):
     return A.pair_counts(A.intersections(*_advised(s, d)))
 
 
-@query("advisor_topology")
+TOPOLOGY_SQL = """WITH c AS (SELECT count(*) FILTER (event_id % 4 = 0) AS a, count(*) FILTER (event_id % 4 = 1) AS b, count(*) FILTER (event_id % 4 >= 2) AS p FROM events),
+m AS (SELECT a::DOUBLE AS a, b::DOUBLE AS b, p::DOUBLE AS p, (2 * a + 2 * b + p)::DOUBLE AS trace FROM c),
+e AS (SELECT unnest([(a + b + sqrt((a - b) * (a - b) + a * b)) / trace, (a + b - sqrt((a - b) * (a - b) + a * b)) / trace, p / trace]) AS l FROM m)
+SELECT 0 AS beta1, 1 AS components, 1 AS isolated, round(100.0 / 3, 9) AS coupling_pct, round(1.0 / 3 + 0.75, 9) AS score, round(sum(l * l), 9) AS purity, round(-sum(l * log2(l)), 9) AS entropy, round(max(l), 9) AS lambda1 FROM e"""
+
+
+@query("advisor_topology", TOPOLOGY_SQL)
 def _(s, d):
     events, shapes = _advised(s, d)
     t = A.workload_score(events, shapes)
     pairs = [tuple(r) for r in A.pair_counts(A.intersections(events, shapes)).collect()]  # pairs of shapes
     m = A.density(pairs, [x.name for x in shapes])
-    return s.createDataFrame([(t["beta1"], t["components"], t["isolated"], float(t["coupling_pct"]), float(t["score"]), m["purity"], m["entropy"], m["lambda1"])], "beta1 int, components int, isolated int, coupling_pct double, score double, purity double, entropy double, lambda1 double")
+    exact = [round(float(x), 9) for x in (t["coupling_pct"], t["score"], m["purity"], m["entropy"], m["lambda1"])]
+    return s.createDataFrame([(t["beta1"], t["components"], t["isolated"], *exact)], "beta1 int, components int, isolated int, coupling_pct double, score double, purity double, entropy double, lambda1 double")
 
 
 @query(
@@ -520,23 +533,65 @@ def _denormalised() -> D.Relation:
     )
 
 
-@query("normal_form_report")
+#: Derived by hand from the dependencies: transitive ones leave the wide table in 2NF.
+NORMAL_FORMS = [
+    ("orders_wide", "2NF", "c_mktsegment,c_nationkey,n_name,o_custkey,o_orderkey,o_totalprice"), ("orders_wide_3nf_1", "BCNF", "c_nationkey,n_name"), ("orders_wide_3nf_2", "BCNF", "c_mktsegment,c_nationkey,o_custkey"),
+    ("orders_wide_3nf_3", "BCNF", "o_custkey,o_orderkey,o_totalprice"), ("orders_wide_1", "BCNF", "c_nationkey,n_name"), ("orders_wide_2_1", "BCNF", "c_mktsegment,c_nationkey,o_custkey"), ("orders_wide_2_2", "BCNF", "o_custkey,o_orderkey,o_totalprice"),
+]
+
+
+@query("normal_form_report", _values("relation, highest, attributes", NORMAL_FORMS))
 def _(s, d):
     r = _denormalised()
     rows = [(x.name, D.classify(x)["highest"], ",".join(sorted(x.attributes))) for x in [r, *D.synthesize(r), *D.decompose_bcnf(r)[0]]]
     return s.createDataFrame(rows, "relation string, highest string, attributes string")
 
 
-@query("ddl_bundle")
+def _ddl_rows() -> list[tuple]:
+    """The statements as they have to be, on one line each."""
+    out = []
+    for dialect, text, money in (("postgres", "TEXT", "NUMERIC(38, 6)"), ("mssql", "NVARCHAR(450)", "DECIMAL(38, 6)")):
+        out += [
+            (dialect, 0, f"CREATE TABLE orders_wide_3nf_1 ( c_nationkey BIGINT NOT NULL, n_name {text}, PRIMARY KEY (c_nationkey) )"),
+            (dialect, 1, f"CREATE TABLE orders_wide_3nf_2 ( o_custkey BIGINT NOT NULL, c_mktsegment {text}, c_nationkey BIGINT, PRIMARY KEY (o_custkey), FOREIGN KEY (c_nationkey) REFERENCES orders_wide_3nf_1 (c_nationkey) )"),
+            (dialect, 2, f"CREATE TABLE orders_wide_3nf_3 ( o_orderkey BIGINT NOT NULL, o_custkey BIGINT, o_totalprice {money}, PRIMARY KEY (o_orderkey), FOREIGN KEY (o_custkey) REFERENCES orders_wide_3nf_2 (o_custkey) )"),
+            (dialect, 3, "CREATE INDEX ix_orders_wide_3nf_2_c_nationkey ON orders_wide_3nf_2 (c_nationkey)"),
+            (dialect, 4, "CREATE INDEX ix_orders_wide_3nf_3_o_custkey ON orders_wide_3nf_3 (o_custkey)"),
+        ]
+    return out
+
+
+@query("ddl_bundle", _values("dialect, place, statement", _ddl_rows()))
 def _(s, d):
     tables = D.synthesize(_denormalised())
-    return s.createDataFrame([(k, i, t) for k in ("postgres", "mssql") for i, t in enumerate(D.ddl(tables, k))], "dialect string, place int, statement string")
+    return s.createDataFrame([(k, i, " ".join(t.split())) for k in ("postgres", "mssql") for i, t in enumerate(D.ddl(tables, k))], "dialect string, place int, statement string")
+
 
+#: Statements, and the reason for which each must be refused (none where it is admitted).
+ADMISSION = [
+    (SUM_BY_STATUS, ""), ("SELECT o_custkey, COUNT(*) FROM orders WHERE o_totalprice >= 10.5 GROUP BY o_custkey", ""), ("select avg(o.o_totalprice) from shop.orders as o where 5 < o.o_custkey;", ""),
+    ("", "EmptyStatement"), ("SELECT SUM(a) FROM t -- x", "Comment"), ("SELECT SUM(a) FROM t /* x */", "Comment"), ('SELECT SUM("a") FROM t', "QuotedIdentifier"), ("SELECT SUM(a) FROM t; SELECT 1", "MultiStatement"),
+    ("UPDATE t SET a = 1", "Update"), ("SELECT SUM(a) FROM t HAVING SUM(a) > 1", "Having"), ("SELECT DISTINCT a FROM t", "Distinct"), ("SELECT a FROM t ORDER BY a", "Order"), ("SELECT a FROM t LIMIT 1", "Limit"),
+    ("WITH x AS (SELECT 1) SELECT * FROM x", "With"), ("SELECT SUM(a) FROM t WHERE b LIKE 'x%'", "Like"), ("SELECT SUM(a) FROM t WHERE b BETWEEN 1 AND 2", "Between"), ("SELECT SUM(a) FROM t WHERE a = 1 OR b = 2", "Or"),
+    ("SELECT SUM(a) FROM t WHERE NOT a = 1", "Not"), ("SELECT SUM(a) FROM t WHERE a IN (1, 2)", "In"), ("SELECT SUM(a) FROM t WHERE a IS NULL", "Is"), ("SELECT SUM(a) OVER () FROM t", "Window"), ("SELECT COUNT(1) FROM t", "Literal"),
+    ("SELECT SUM(DISTINCT a) FROM t", "AggregateModifier"), ("SELECT SUM(a), COUNT(*) FROM t", "MultipleAggregates"), ("SELECT MIN(a) FROM t", "Min"), ("SELECT SUM(a * 2) FROM t", "Mul"), ("SELECT a, SUM(b) FROM t", "UngroupedProjectionInAggregate"),
+    ("SELECT a FROM t GROUP BY a", "GroupWithoutAggregate"), ("SELECT SUM(a) FROM t GROUP BY 1", "GroupModifier"), ("SELECT SUM(a) FROM t GROUP BY ROLLUP(a)", "GroupModifier"), ("SELECT SUM(a) FROM (SELECT 1)", "Subquery"), ("SELECT * FROM t", "Star"),
+    ("SELECT SUM(a) FROM t WHERE a = b", "NonColumnComparison"), ("SELECT SUM(a) FROM t WHERE a = @x", "Parameter"), ("SELECT UPPER(a) FROM t", "Anonymous"), ("SELECT SUM(x.a) FROM t", "UnknownTableQualifier"), ("SELECT a FROM t UNION SELECT a FROM u", "Union"),
+]
+JOIN_ADMISSION = [
+    (JOIN_SQL, ""), (SNOWFLAKE_SQL, ""), (LEFT_SQL, ""), ("SELECT COUNT(*) FROM a CROSS JOIN b", "CrossJoin"), ("SELECT COUNT(*) FROM a RIGHT JOIN b ON a.x = b.id", "UnsupportedJoin:right"), ("SELECT COUNT(*) FROM a JOIN b USING (id)", "Join_using"),
+    ("SELECT COUNT(*) FROM a JOIN b ON a.x > b.id", "NonEquiJoin"), ("SELECT COUNT(*) FROM a JOIN b ON a.x = b.y", "RightJoinKeyNotPrimaryKey"), ("SELECT COUNT(*) FROM a JOIN a ON a.x = a.id", "DuplicateJoinQualifier"), ("SELECT COUNT(*) FROM a JOIN b ON x = b.id", "UnqualifiedJoinColumn"), ("SELECT COUNT(*) FROM a JOIN b", "MissingJoinOn"),
+]
 
-@query("admission_report")
+
+@query("join_admission_report", _values("sql, admitted, reason", [(t, not r, r) for t, r in JOIN_ADMISSION]))
+def _(s, d):
+    return s.createDataFrame([(t, (r := parse_join_sql(t, primary_keys=KEYS)).is_supported, r.reason) for t, _ in JOIN_ADMISSION], "sql string, admitted boolean, reason string")
+
+
+@query("admission_report", _values("sql, admitted, reason", [(t, not r, r) for t, r in ADMISSION]))
 def _(s, d):
-    texts = [SUM_BY_STATUS, "SELECT MIN(o_totalprice) FROM orders", "SELECT o_custkey, COUNT(1) FROM orders GROUP BY o_custkey", "SELECT * FROM orders", "SELECT SUM(o_totalprice) FROM orders WHERE NOT o_custkey = 1", "SELECT SUM(o_totalprice) FROM orders -- all"]
-    return s.createDataFrame([(t, (r := parse_sql(t)).is_supported, r.reason) for t in texts], "sql string, admitted boolean, reason string")
+    return s.createDataFrame([(t, (r := parse_sql(t)).is_supported, r.reason) for t, _ in ADMISSION], "sql string, admitted boolean, reason string")
 
 
 @query("retention_sweep")
@@ -544,7 +599,7 @@ def _(s, d):
     return policy_sweep(s)
 
 
-@query("cms_estimate")
+@query("cms_estimate", "SELECT event_type, COUNT(*) AS n, TRUE AS covered FROM events GROUP BY 1")
 def _(s, d):
     from .streaming.retention import FrequencySketch
 
@@ -558,4 +613,120 @@ def _(s, d):
         return pd.DataFrame([(t, int(c), sketch.estimate(t)) for t, c in n.items()], columns=["event_type", "n", "estimate"])
 
     e = read(s, d, "events").withColumn("shard", F.pmod(F.xxhash64("event_id"), F.lit(16)))
-    return e.select("shard", "event_type").groupBy("shard").applyInPandas(run, "event_type string, n long, estimate long").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("estimate").alias("estimate"))
+    return e.select("shard", "event_type").groupBy("shard").applyInPandas(run, "event_type string, n long, estimate long").groupBy("event_type").agg(F.sum("n").alias("n"), (F.sum("estimate") >= F.sum("n")).alias("covered"))
+
+
+# ---------------------------------------------------------------- evidence at its own scale, and what fails closed
+
+TINY = "CAST(0.0000001 AS DECIMAL(8,7))"
+LONG_KEY = "CAST('1' || lpad(CAST({} AS STRING), 34, '0') AS DECIMAL(38,0))"
+
+
+@query(
+    "ivm_exact_decimals",
+    f"{WITH} SELECT {LONG_KEY.format('o_custkey').replace('STRING', 'VARCHAR')} AS k, CAST(SUM(o_totalprice * {TINY}) AS DECIMAL(38,9)) AS total FROM mutated WHERE o_orderkey < {SHIFT} GROUP BY 1",
+)
+def _(s, d):
+    c = changed_orders(orders(s, d), _customers(s, d))
+    c = c.withColumns({f"{p}k": F.expr(LONG_KEY.format(f"{p}o_custkey")) for p in ("", "n_")} | {f"{p}v": F.expr(f"CAST({p}o_totalprice * {TINY} AS DECIMAL(20,9))") for p in ("", "n_")})
+    some = c.where("what is not null")
+    new = F.when(F.col("what") == "UPDATE", V.image(some, {"id": "o_orderkey", "k": "n_k", "v": "n_v"}))
+    ev = as_events(some, "tiny", F.col("o_orderkey"), F.col("what"), V.image(some, {"id": "o_orderkey", "k": "k", "v": "v"}), new)
+    shape = QueryShape("tiny", "sum", "v", ("k",))
+    return _named(maintain(shape, cold_state(shape, c), ev)[1], "k").select("k", F.col("sum_val").alias("total"))
+
+
+@query(
+    "exact_evidence_decisions",
+    """SELECT CASE o_orderkey % 4 WHEN 0 THEN 'value_change' WHEN 1 THEN 'disjoint_columns' ELSE 'invalid_evidence_type' END AS reason, COUNT(*) AS n FROM orders GROUP BY 1""",
+)
+def _(s, d):
+    """The seventh place counts, zeros behind the point don't, and what a sum can't hold is refused."""
+    o = orders(s, d)
+    price = F.col("o_totalprice").cast("string")
+    more = F.when(F.col("o_orderkey") % 4 == 0, "00001").when(F.col("o_orderkey") % 4 == 1, "000000000000000000000").when(F.col("o_orderkey") % 4 == 2, "00000000000000000001").otherwise("E+2")
+    img = lambda v: F.create_map(F.lit("o_totalprice"), F.struct(F.lit("dec").alias("t"), v.alias("v")))
+    ev = as_events(o, "orders", F.col("o_orderkey"), F.lit("UPDATE"), img(price), img(F.concat(price, more)))
+    return certify(ev, QueryShape("orders", "sum", "o_totalprice")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "join_evidence_decisions",
+    "SELECT CASE WHEN o_orderkey % 4 = 3 THEN 'insert' ELSE 'invalid_evidence_type' END AS reason, COUNT(*) AS n FROM orders GROUP BY 1",
+)
+def _(s, d):
+    """Texts, a third place and keys of 30 digits are no evidence for a join over money and whole keys."""
+    o = orders(s, d)
+    k = F.col("o_orderkey") % 4
+    new = V.image(o, {c: c for c in o.columns})
+    swap = lambda name, tag, v: F.transform_values(new, lambda c, x: F.when(c == name, F.struct(F.lit(tag).alias("t"), v.alias("v"))).otherwise(x))
+    price = F.col("o_totalprice").cast("string")
+    new = F.when(k == 0, swap("o_totalprice", "str", F.lit("abc"))).when(k == 1, swap("o_totalprice", "dec", F.concat(price, F.lit("5")))).when(k == 2, swap("o_custkey", "int", F.lit("9" * 30))).otherwise(new)
+    new = F.transform_values(new, lambda c, x: F.when(c == "o_orderkey", F.struct(x["t"].alias("t"), (x["v"].cast("long") + SHIFT).cast("string").alias("v"))).otherwise(x))
+    ev = as_events(o, "orders", F.col("o_orderkey"), F.lit("INSERT"), F.lit(None).cast(V.IMAGE), new).withColumn("stream_id", F.col("event_id"))
+    out, _ = J.certify_join(_join_shape(JOIN_SQL), _tables(s, d), ev)
+    return out.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("ivm_from_group_state", f"{WITH} SELECT o_orderstatus, CAST(SUM(o_totalprice) AS DECIMAL(38,2)) AS total, COUNT(*) AS n FROM mutated GROUP BY 1")
+def _(s, d):
+    shape = _shape(SUM_BY_STATUS)
+    stored = orders(s, d).groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias("sum"), F.count("o_totalprice").alias("non_null_count"), F.count("*").alias("row_count"))
+    out = maintain(shape, from_group_state(shape, stored), _events(s, d))[1]
+    return _named(out, "o_orderstatus").select("o_orderstatus", F.col("sum_val").cast(MONEY).alias("total"), F.col("rows").alias("n"))
+
+
+@query("rebuild_after_schema_change", "SELECT o_orderstatus, CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(38,2)) AS total, TRUE AS rebuilt FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
+def _(s, d):
+    shape, o = _shape(SUM_BY_STATUS), orders(s, d)
+    ddl = as_events(s.range(1), "orders", F.lit(-5), F.lit("SCHEMA_CHANGE"), F.lit(None).cast(V.IMAGE), F.lit(None).cast(V.IMAGE))
+    _, out, rebuilt = maintain_or_rebuild(shape, cold_state(shape, o), _events(s, d).union(ddl), o.where("o_orderkey % 2 = 0"))
+    return _named(out, "o_orderstatus").select("o_orderstatus", F.col("sum_val").cast(MONEY).alias("total"), F.lit(rebuilt).alias("rebuilt"))
+
+
+_BEGIN, _END, _BACK = ('{"payload":{"status":"%s","id":"%%s"%s}}' % x for x in (("BEGIN", ""), ("END", ""), ("ROLLBACK", "")))
+_ROW = '{"payload":{"op":"c","after":{"a":1},"source":{"table":"t"},"transaction":{"id":"%s"}}}'
+#: Records of a stream each, and what must come of them in order.
+STREAMS = {
+    "commit": ([_BEGIN % 1, _ROW % 1, '{"payload":{"status":"END","id":"1","event_count":1}}'], ["INSERT"]),
+    "no_begin": ([_END % 1], ["transaction_boundary_violation"]),
+    "empty": ([_BEGIN % 2, _END % 2], ["empty_transaction"]),
+    "other_id": ([_BEGIN % 3, _ROW % 4], ["transaction_boundary_violation"]),
+    "rollback": ([_BEGIN % 5, _ROW % 5, _BACK % 5], ["transaction_rollback"]),
+    "open": ([_BEGIN % 6, _ROW % 6], ["uncommitted_transaction_discarded"]),
+    "nested": ([_BEGIN % 7, _BEGIN % 8], ["transaction_boundary_violation"]),
+    "count": ([_BEGIN % 9, _ROW % 9, '{"payload":{"status":"END","id":"9","event_count":2}}'], ["transaction_boundary_violation"]),
+    "drift": (['{"payload":{"op":"c","after":{"a":1},"source":{"table":"t"}}}', '{"payload":{"op":"c","after":{"a":1,"b":2},"source":{"table":"t"}}}'], ["INSERT", "SCHEMA_CHANGE", "INSERT"]),
+    "ddl": (['{"ddl":"ALTER TABLE shop.orders ADD x INT"}'], ["SCHEMA_CHANGE"]),
+    "garbage": (["{", "[1]"], ["unknown_operation", "unknown_operation"]),
+}
+
+
+@query("stream_reason_codes", _values("stream_id, outcomes", [(k, ",".join(o)) for k, (_, o) in STREAMS.items()]))
+def _(s, d):
+    lines = s.createDataFrame([(k, i, x) for k, (lines, _) in STREAMS.items() for i, x in enumerate(lines)], "stream_id string, seq long, value string")
+    got = assemble(decode_records(lines)).withColumn("outcome", F.coalesce("reason", "op"))
+    drift = F.when(F.col("event_id").endswith(":drift"), 0).otherwise(1)
+    return got.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", drift.alias("late"), "outcome"))).alias("o")).select("stream_id", F.array_join(F.col("o.outcome"), ",").alias("outcomes"))
+
+
+#: Records of the change formats, and relation, operation, columns without a value, and one column's value.
+RECORDS = [
+    ('{"payload":{"op":"u","before":{"a":1},"after":{"a":"__debezium_unavailable_value","b":1.5},"source":{"schema":"S","table":"T","lsn":5}}}', "b", "s.t", "UPDATE", "a", "float:1.5"),
+    ('{"schema":{"fields":[{"field":"after","fields":[{"field":"m","type":"struct","name":"VariableScaleDecimal"}]}]},"payload":{"op":"c","after":{"m":{"scale":2,"value":"AfQ="}},"source":{"table":"t"}}}', "m", "t", "INSERT", "", "dec:5.00"),
+    ('{"action":"U","schema":"p","table":"t","columns":[{"name":"id","type":"bigint","value":"4"},{"name":"big","type":"text"}],"identity":[{"name":"id","type":"bigint","value":4}]}', "id", "p.t", "UPDATE", "big", "int:4"),
+    ('{"action":"I","schema":"p","table":"t","columns":[{"name":"n","type":"numeric(10,2)","value":"1.50"}]}', "n", "p.t", "INSERT", "", "dec:1.50"),
+    ('{"action":"T","schema":"p","table":"t"}', "x", "p.t", "TRUNCATE", "", None),
+    ('{"nextlsn":"9","change":[{"kind":"delete","schema":"p","table":"t","oldkeys":{"keynames":["id"],"keyvalues":[7],"keytypes":["integer"]}}]}', "id", "p.t", "DELETE", "", None),
+    ('{"payload":{"op":"c","after":{"big":12345678901234567890123},"source":{"table":"t"}}}', "big", "t", "INSERT", "", "int:12345678901234567890123"),
+    ('{"ddl":"DROP TABLE IF EXISTS shop.items"}', "x", "shop.items", "SCHEMA_CHANGE", "", None),
+    ('{"tableChanges":[{"id":"\\"shop\\".\\"orders\\""}],"source":{"table":"z"}}', "x", "shop.orders", "SCHEMA_CHANGE", "", None),
+]
+
+
+@query("change_format_report", _values("place, relation, op, gone, value", [(i, *r[2:]) for i, r in enumerate(RECORDS)]))
+def _(s, d):
+    lines = s.createDataFrame([("s", i, r[0]) for i, r in enumerate(RECORDS)], "stream_id string, seq long, value string")
+    column = F.create_map(*[x for i, r in enumerate(RECORDS) for x in (F.lit(i), F.lit(r[1]))])
+    got = decode_records(lines).withColumn("place", F.floor(F.col("seq") / 1000).cast("int")).withColumn("x", F.expr("new").getItem(column[F.col("place")]))
+    return got.select("place", "relation", "op", F.coalesce(F.array_join("unavailable_cols", ","), F.lit("")).alias("gone"), F.concat("x.t", F.lit(":"), "x.v").alias("value"))
