@@ -193,12 +193,17 @@ def _ddl(r: dict) -> list[dict]:
 
 
 def decode(record: dict) -> list[dict]:
-    """Canonical records of one parsed JSON record of any known format; raises ValueError for others."""
+    """Canonical records of one parsed JSON record of any known format; raises ValueError for others.
+
+    {"end_of_stream": true} is our own: it ends a stream that would else go on, and discards what is open.
+    """
     body = record.get("payload") if isinstance(record.get("payload"), dict) else record
     if "ddl" in body or "tableChanges" in body:
         return _ddl(body)
     if isinstance(body.get("status"), str) and body["status"].upper() in ("BEGIN", "END", "COMMIT", "ROLLBACK", "ABORT"):
         return [_transaction(body)]
+    if record.get("end_of_stream") is True:
+        return [_event("FINISH")]
     if "action" in record:
         return [_wal2json_v2(record)]
     if "change" in record:

@@ -79,6 +79,8 @@ class TransactionMachine:
         bad = lambda: [self._own(r, "invalidate", "transaction_boundary_violation")]
         if kind in ("MESSAGE", "ERROR"):
             return [self._own(r, "invalidate", "unknown_operation")] if kind == "ERROR" else []
+        if kind == "FINISH":
+            return self.finish(r)
         if kind == "BEGIN":
             nested = self.tx is not None
             self.tx, self.held = (None if nested else tx or ANONYMOUS_TX), []

@@ -372,3 +372,37 @@ def test_plan_of_many_shapes_stays_small(spark):
     shapes = [QueryShape("orders", "sum", "amount", (f"g{i}",), Predicate((("status", "=", "paid"), ("amount", ">", i))), name=f"s{i}") for i in range(4)]
     plan = decisions(events(spark, [{}]), shapes)._jdf.queryExecution()
     assert plan.executedPlan().toString().count("Scan") == 1 and len(plan.optimizedPlan().toString()) < 120_000
+
+
+def test_streaming_maintenance(spark, tmp_path):
+    """Repairs, a latch, a rebuild by hand, one by the hook, and the end of a stream, over several batches."""
+    from tallykeep.sources.cdc import decode_records
+    from tallykeep.streaming.maintenance import StateFolder, maintain_stream
+
+    shape = QueryShape("t", "sum", "v", ("g",))
+    put = lambda g, v, tx=None: {"payload": {"op": "c", "after": {"g": g, "v": v}, "source": {"table": "t"}, **({"transaction": {"id": tx}} if tx else {})}}
+    table = lambda rows: spark.createDataFrame(rows, "g string, v long")
+    begin = lambda tx: {"payload": {"status": "BEGIN", "id": tx}}
+    batches = [[put("a", 1), begin("1"), put("b", 5, "1")], [{"payload": {"status": "END", "id": "1"}}, put("a", 2)], [{"ddl": "ALTER TABLE t ADD x INT"}, put("a", 4)], [put("a", 8)], [put("b", 1), begin("2"), put("b", 100, "2")], [{"end_of_stream": True}]]
+    for hook in (None, lambda s, seq: table([("a", 21), ("b", 5)] if seq < 100_000 else [])):
+        top = tmp_path / str(hook is None)
+        (top / "in").mkdir(parents=True)
+        folder = StateFolder(spark, str(top / "out"), shape)
+        folder.seed(table([("a", 10)]))
+        values = lambda folder=folder: {r["g0"]: int(r["sum_val"]) for r in folder.read()[0].collect()}
+        read = spark.readStream.schema("seq long, value string").json(str(top / "in")).select(F.lit("s").alias("stream_id"), "seq", "value")
+        seen = []
+        for k, part in enumerate(batches):
+            (top / "in" / f"{k}.json").write_text("\n".join(json.dumps({"seq": 10 * k + i, "value": json.dumps(x)}) for i, x in enumerate(part)))
+            maintain_stream(decode_records(read), folder, str(top / "ck"), hook, availableNow=True).awaitTermination()
+            seen.append((values(), folder.read()[1]))
+            if hook is None and k == 3:
+                folder.rebuild(table([("a", 25), ("b", 5)]))
+        assert seen[0] == ({"a": 11}, False) and seen[1] == ({"a": 13, "b": 5}, False)
+        reasons = [r["reason"] for r in folder.certificates().orderBy("seq").collect()]
+        if hook is None:
+            assert seen[2][1] and seen[3][1] and reasons.count("cache_requires_rebuild") == 2
+            assert seen[4] == ({"a": 25, "b": 6}, False)
+        else:
+            assert seen[2] == ({"a": 21, "b": 5}, False) and seen[3] == ({"a": 29, "b": 5}, False) and seen[4] == ({"a": 29, "b": 6}, False)
+        assert seen[5] == seen[4] and reasons[-1] == "uncommitted_transaction_discarded" and "schema_evolution" in reasons
