@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..plans.admission import parse_sql
 from ..plans.shapes import AGGREGATES, SECURITY, QueryShape
 
 _NONE = "cast(array() as array<string>)"
@@ -239,6 +240,13 @@ def certify_all(events: DataFrame, shapes: list[QueryShape], own_relation: bool
     return rows.where("_c is not null").select("seq", "event_id", "relation", "operation", "clock", "_c.*")
 
 
+def certify_sql(events: DataFrame, sql: str, schema: dict[str, list[str]] | None = None) -> DataFrame:
+    """From a statement and events to decisions: admission and certification in one. What isn't admitted is unsupported."""
+    got = parse_sql(sql, schema=schema)
+    shape = got.shape if got.is_supported else QueryShape("*", is_supported=False, unsupported_reason=got.reason)
+    return certify(events, shape)
+
+
 def with_latch(certified: DataFrame, partition: list[str]) -> DataFrame:
     """After an invalidation every later event of the partition (by seq) asks for a rebuild, as long as none is made."""
     first = certified.where(F.col("decision").isin("invalidate", "unsupported")).groupBy(*partition).agg(F.min("seq").alias("_first"))

@@ -216,3 +216,34 @@ def cold_state(shape: QueryShape, rows: DataFrame) -> DataFrame:
 def values(shape: QueryShape | JoinShape, state: DataFrame) -> DataFrame:
     groups = [c for c in state.columns if c.startswith("g") and c[1:].isdigit()]
     return state.select(*groups, displayed(shape.agg_fn).alias("value"))
+
+
+# ---------------------------------------------------------------- SQL text of shapes
+
+
+def _literal_sql(value) -> str:
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else format(Decimal(str(value)), "f")
+
+
+def _aggregate_sql(agg_fn: str, column: str | None) -> str:
+    return "COUNT(*)" if agg_fn == "count_star" else f"{agg_fn.upper()}({column})"
+
+
+def group_state_sql(shape: QueryShape) -> str:
+    """ANSI SQL for the statistics that a state is kept from: the groups, __sum_val, __non_null_count, __row_count."""
+    value = shape.agg_col
+    total = f"SUM({value})" if value and shape.agg_fn in ("sum", "avg") else "0"
+    picked = [*shape.group_cols, f"{total} AS __sum_val", f"COUNT({value or '*'}) AS __non_null_count", "COUNT(*) AS __row_count"]
+    where = " AND ".join(f"{c} {op} {_literal_sql(v)}" for c, op, v in shape.predicate.terms)
+    groups = f" GROUP BY {', '.join(shape.group_cols)}" if shape.group_cols else ""
+    return f"SELECT {', '.join(picked)} FROM {shape.relation}{f' WHERE {where}' if where else ''}{groups}"
+
+
+def join_sql(shape: JoinShape) -> str:
+    """The statement that a join shape stands for, which the admission reads back as the same shape."""
+    name = ".".join
+    groups = ", ".join(map(name, shape.group_cols))
+    joins = "".join(f" {'LEFT JOIN' if j.kind == 'left' else 'JOIN'} {j.table} ON {name(j.left)} = {j.table}.{j.key}" for j in shape.joins)
+    where = " AND ".join(f"{name(c)} {op} {_literal_sql(v)}" for c, op, v in shape.predicate)
+    value = _aggregate_sql(shape.agg_fn, name(shape.agg_col) if shape.agg_col else None)
+    return f"SELECT {groups + ', ' if groups else ''}{value} FROM {shape.base}{joins}{f' WHERE {where}' if where else ''}{f' GROUP BY {groups}' if groups else ''}"

@@ -17,12 +17,12 @@ from .functions import values as V
 from .functions.synthetic import MUTATED_ORDERS, SHIFT, as_events, changed_orders, order_events, orders, read
 from .operators import advisor as A
 from .operators import joins as J
-from .operators.certify import certify, with_latch
+from .operators.certify import certify, certify_sql, with_latch
 from .operators.extremum import best_window, extremum, merge_multiset, multiset, window_decisions
 from .operators.maintain import apply_changes, from_group_state, maintain, maintain_or_rebuild
 from .operators.store import effective_counts, receipts
 from .plans.admission import parse_join_sql, parse_sql
-from .plans.shapes import JoinClause, JoinShape, Predicate, QueryShape, cold_state, displayed
+from .plans.shapes import JoinClause, JoinShape, Predicate, QueryShape, cold_state, displayed, group_state_sql, join_sql
 from .sources.cdc import decode_records, encode_debezium, encode_wal2json_v1, encode_wal2json_v2
 from .streaming.transactions import assemble
 from .streaming.workloads import policy_sweep
@@ -730,3 +730,30 @@ def _(s, d):
     column = F.create_map(*[x for i, r in enumerate(RECORDS) for x in (F.lit(i), F.lit(r[1]))])
     got = decode_records(lines).withColumn("place", F.floor(F.col("seq") / 1000).cast("int")).withColumn("x", F.expr("new").getItem(column[F.col("place")]))
     return got.select("place", "relation", "op", F.coalesce(F.array_join("unavailable_cols", ","), F.lit("")).alias("gone"), F.concat("x.t", F.lit(":"), "x.v").alias("value"))
+
+
+# ---------------------------------------------------------------- SQL text of shapes, and decisions straight from SQL
+
+FILTERED_SQL = "SELECT o_orderstatus, COUNT(*) FROM orders WHERE o_totalprice > 1000.5 AND o_orderpriority <> 'it''s' GROUP BY o_orderstatus"
+
+
+@query("group_state_by_sql", group_state_sql(_shape(FILTERED_SQL)))
+def _(s, d):
+    out = cold_state(_shape(FILTERED_SQL), orders(s, d))
+    return _named(out, "o_orderstatus").select("o_orderstatus", F.lit(0).alias("__sum_val"), F.col("n").alias("__non_null_count"), F.col("rows").alias("__row_count"))
+
+
+_COUNTED = SNOWFLAKE_SQL.replace("SUM(orders.o_totalprice)", "COUNT(*)")
+
+
+@query("join_by_sql", f"SELECT r_name, n FROM ({join_sql(_join_shape(_COUNTED))}) t(r_name, n)")
+def _(s, d):
+    shape = _join_shape(join_sql(_join_shape(_COUNTED)))  # read back from its own text
+    return J.cold_join_state(shape, _tables(s, d)).select(F.col("g0").alias("r_name"), F.col("rows").alias("n"))
+
+
+@query("decisions_from_sql", EVENT_KINDS + " SELECT 'MIN' AS statement, 'unsupported' AS decision, COUNT(*) AS n FROM e UNION ALL SELECT 'COUNT', CASE WHEN op LIKE 'UPDATE%' THEN 'preserve' ELSE 'repair' END, COUNT(*) FROM e GROUP BY 2")
+def _(s, d):
+    ev = _events(s, d)
+    count = lambda name, sql: certify_sql(ev, sql).groupBy(F.lit(name).alias("statement"), "decision").agg(F.count("*").alias("n"))
+    return count("MIN", "SELECT MIN(o_totalprice) FROM orders").union(count("COUNT", "SELECT COUNT(*) FROM orders"))
