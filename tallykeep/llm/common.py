@@ -65,16 +65,28 @@ def _forget(spark: SparkSession, top: str) -> None:
         pass
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{next(_serial)}-{uuid.uuid4().hex[:8]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts the lineage, and survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    """Write df to the shared folder as Parquet and read it back: cuts the lineage, and survives lost executors.
+
+    The shuffle files of the write are deleted with its end instead of whenever the driver collects garbage.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
