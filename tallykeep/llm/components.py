@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _state(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(e: DataFrame) -> bool:
+    """Whether edges (u, v) with v < u are stars: every u has one v, and no v is a u itself."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -23,10 +26,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = written(
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    state = _state(e)
-    if not state[0]:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
+        if _settled(e):
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -34,8 +36,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _state(e)
-        if now == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")
