@@ -568,3 +568,16 @@ def test_warc_foreign_headers():
     head = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 49\r\n\r\n"
     got = parse_record(head + b"HTTP/1.1 200 OK\r\nContent-Length: chunked\r\n\r\nabcde\r\n\r\n")
     assert got[1] == "response" and got[6] == b"abcde" and got[5] == 5
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(49, i) for i in range(49)], [(i * i % 37 - 9, i * 7 % 41) for i in range(25)]])
+def test_components_against_brute_force(spark, edges):
+    from tallykeep.llm.components import connected_components
+
+    least = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = sorted(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == sorted((n, c) for n, c in least.items() if n != c)
