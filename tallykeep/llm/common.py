@@ -6,7 +6,9 @@ import atexit
 import itertools
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -72,21 +74,46 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{next(_serial)}-{uuid.uuid4().hex[:8]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts the lineage, and survives lost executors.
-
-    The shuffle files of the write are deleted with its end instead of whenever the driver collects garbage.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    schema = df.schema
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside are deleted as each run ends, instead of whenever the driver collects garbage."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
+
+
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder as Parquet and read it back: cuts the lineage, and survives lost executors."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    schema = df.schema
+    with tidy(spark):
+        df.write.parquet(path)
+    got = spark.read.schema(schema).parquet(path)
+    _tables[got] = path
+    return got
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables of written() that nothing reads any more: all made from them has been written itself.
+
+    Any other DataFrame is left alone.
+    """
+    for t in tables:
+        path = None if t is None else _tables.pop(t, None)
+        if path is not None:
+            delete_path(t.sparkSession, path)
+
+
+def is_empty(df: DataFrame) -> bool:
+    with tidy(df.sparkSession):
+        return df.isEmpty()
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, written
+from .common import bound_batches, drop, written
 from .components import connected_components
 
 COSINE = 0.98
@@ -221,6 +221,7 @@ def embedding_groups(vectors: DataFrame, vec_id: str = "vec_id", embedding: str
     at = [*key, "first", "second"]
     dealt = dealt.select(*at, "block", "rep", "n", "code", "factor", "vector").repartition(*at).sortWithinPartitions(*at)
     found = written(dealt.mapInArrow(_search(bits, bands, cosine), "rep long, links long, root long"), "found")
+    drop(crowded)
 
     links = found.groupBy(F.col("rep").alias("node_l")).agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

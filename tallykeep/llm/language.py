@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, bound_batches, packed_row, written
+from .common import BLOCK_BYTES, bound_batches, drop, packed_row, tidy, written
 
 #: Bounds of what the model is fitted on: labelled rows of all languages together, and landmarks of all together.
 TRAIN_ROWS, LANDMARKS = 8192, 256
@@ -217,6 +217,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     shared = spark.sparkContext.broadcast((grams, marks, norms))
     kernel = sample.select("lang", "text").mapInArrow(_kernel_rows(shared), "lang string, row binary, bits int").collect()
     shared.unpersist()
+    drop(sample)
     k = np.empty((len(kernel), len(norms)))
     for row, r in zip(k, kernel):
         row[:] = np.frombuffer(r[1], "<f8")
@@ -260,7 +261,8 @@ def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Repeated rows get equal answers. Other columns are ignored.
     """
     bound_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, doc_id, text, lang))
+    with tidy(docs.sparkSession):
+        model = docs.sparkSession.sparkContext.broadcast(train(docs, doc_id, text, lang))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -289,7 +291,8 @@ def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     ValueError if docs has rows but none to learn from, as nothing could be judged; no rows give no rows.
     """
     bound_batches(docs.sparkSession)
-    fitted = train(docs, doc_id, text, lang)
+    with tidy(docs.sparkSession):
+        fitted = train(docs, doc_id, text, lang)
     if not fitted.languages and not docs.isEmpty():
         raise ValueError(f"no row with {doc_id}, {text} and {lang} to learn languages from")
     model = docs.sparkSession.sparkContext.broadcast(fitted)

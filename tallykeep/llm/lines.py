@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, packed_row, row_key, text_buffers, written
+from .common import bound_batches, drop, packed_row, row_key, text_buffers, tidy, written
 
 #: Weight, in bits, that makes an overlap of shared lines: that of one line in a hundredth of all documents.
 RARE_BITS = math.log2(100)
@@ -157,11 +157,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rar
     docs = docs.drop(*added)
     keyed = docs.select(packed_row(docs), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), row_key(F.col(text)).alias("tkey"))
     lines = keyed.select("id", "tkey", F.col("row")[text].alias("text")).mapInArrow(_lines, "id long, tkey long, ordinal int, place int, line long, size long, all int")
-    total = math.log2(max(2, docs.count()))
+    with tidy(docs.sparkSession):
+        total = math.log2(max(2, docs.count()))
     stats = lines.groupBy("line").agg(F.min(F.struct("id", "tkey")).alias("owner"), F.max("id").alias("last")).where("owner.id < last")
     stats = written(stats.select("line", "owner"), "lines")  # so that the join can split a hot line
     shared = written(lines.join(stats, "line").select("id", "tkey", "ordinal", "place", "line", "size", "all", "owner"), "shared")
 
+    drop(stats)
     own = written(shared.groupBy("id", "tkey", "owner", "line").agg(F.count_distinct("ordinal").alias("k"), F.max("size").alias("size"), F.max("all").alias("all")), "own")
     main = own.groupBy("id", "tkey", "owner").agg(F.sum("k").alias("k"), F.max("all").alias("all")).groupBy("id", "tkey")
     main = main.agg(F.max(F.struct("k", "owner")).alias("most"), F.max("all").alias("all"))
@@ -173,9 +175,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rar
     weight = F.greatest(F.col("rarity"), F.col("size") / F.lit(BIT_BYTES))
     pairs = own.where("owner.id < id").join(weights, "line").groupBy("id", "tkey", "owner").agg(F.sum(weight).alias("bits")).where(F.col("bits") >= rare_bits)
     pairs = written(pairs.select("id", "tkey", F.col("owner.id").alias("id0"), F.col("owner.tkey").alias("tkey0")), "pairs")
+    drop(own, weights)
     item = F.struct("ordinal", "place", "line")
     texts = shared.dropDuplicates(["id", "tkey", "ordinal"]).groupBy("id", "tkey").agg(F.sort_array(F.collect_list(item)).alias("late"))
     texts = written(texts, "sequences")
+    drop(shared)
     early = texts.select(F.col("id").alias("id0"), F.col("tkey").alias("tkey0"), F.col("late").alias("early"))
     both = pairs.join(texts, ["id", "tkey"]).join(early, ["id0", "tkey0"]).select("id", "tkey", "early", "late")
     gone = both.mapInArrow(_align, "id long, tkey long, gone array<int>").where("size(gone) > 0")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, _span_hashes, blocks, bound_batches, long_cuts, packed_row, row_key, split_words, text_buffers, written
+from .common import BLOCK_BYTES, _span_hashes, blocks, bound_batches, drop, long_cuts, packed_row, row_key, split_words, text_buffers, tidy, written
 
 #: Bounds of what the classifier is fitted on: labelled documents of all domains, and words.
 TRAIN_DOCS, WORDS = 9000, 2048
@@ -124,7 +124,9 @@ def _sample(docs: DataFrame, labels: DataFrame, count: dict[str, int], doc_id: s
     rows = rows.join(F.broadcast(few), F.col("_id") == F.col("_of")).withColumn("key", F.xxhash64("_id", "text"))
     rows = written(rows.groupBy("domain", "key").agg(F.first("text").alias("text")), "labelled")
     have = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
-    return rows.where(draw("key", F.lit("row")) < share(have)).select("domain", "text")
+    sample = written(rows.where(draw("key", F.lit("row")) < share(have)).select("domain", "text"), "sample")
+    drop(rows)
+    return sample
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str):
@@ -141,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str):
     if not domains:
         return [], None
     prior = np.log(np.array([count[k] for k in domains], float) / sum(count.values())).astype(np.float32)
-    sample = written(_sample(docs, labels, count, doc_id, text), "sample")
+    sample = _sample(docs, labels, count, doc_id, text)
 
     sizes = {r[0]: r[1] for r in sample.groupBy("domain").count().collect()}
     per = sample.mapInArrow(_seen, "domain string, token long").groupBy("token", "domain").agg(F.count("*").alias("n"))
@@ -156,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str):
     shared = spark.sparkContext.broadcast(v)
     rows = sample.mapInArrow(_training(shared), "domain string, words binary, logs binary").collect()
     shared.unpersist()
+    drop(sample)
     if not rows:
         return domains, (v, np.zeros((len(v.hashes), len(domains)), np.float32), prior)
     x, at = np.zeros((len(rows), len(v.hashes)), np.float32), {k: i for i, k in enumerate(domains)}
@@ -222,8 +225,9 @@ def _state(member: DataFrame, moves: np.ndarray, n: int, most: float) -> tuple[n
     """The domains' expected tokens and the Gram matrix at the present rates, over all documents."""
     parts = member.select("tokens", "posterior").mapInArrow(_totals(moves, n, most), "at long, v double")
     out = np.zeros(n + n * n)
-    for at, v in parts.groupBy("at").agg(F.sum("v")).collect():  # a number for each pair of domains
-        out[at] = v
+    with tidy(member.sparkSession):
+        for at, v in parts.groupBy("at").agg(F.sum("v")).collect():  # a number for each pair of domains
+            out[at] = v
     return out[:n], out[n:].reshape(n, n)
 
 
@@ -285,7 +289,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], doc_id: s
     bound_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), packed_row(docs)) if keep else docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("tkey", row_key(F.col("text")))
-    domains, model = train(docs, labels, doc_id, text)
+    with tidy(spark):
+        domains, model = train(docs, labels, doc_id, text)
     if not domains:
         same = {"tokens": F.lit(0).cast("long"), "posterior": F.array().cast("array<double>"), "rate": F.lit(1.0), "copies": F.lit(1)}
         return rows.withColumns(same).drop("text")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import BLOCK_BYTES, blocks, bound_batches, text_buffers, written
+from .common import BLOCK_BYTES, blocks, bound_batches, text_buffers, tidy, written
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -281,8 +281,9 @@ def pack_documents(
     made = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(spec, end_id, max_tokens, with_ids), schema)
     pieces = written(made, "pieces")
     count = np.zeros((max_tokens + 1, SALTS), np.int64)
-    for length, salt, n in pieces.groupBy("length", "salt").count().toPandas().itertuples(index=False):
-        count[length, salt] = n
+    with tidy(spark):
+        for length, salt, n in pieces.groupBy("length", "salt").count().toPandas().itertuples(index=False):
+            count[length, salt] = n
     sequences = plan(count.sum(1), max_tokens)
     slots = spark.sparkContext.broadcast(Slots(sequences, max_tokens))
     before = spark.sparkContext.broadcast(np.cumsum(count, 1) - count)

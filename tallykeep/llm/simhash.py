@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bound_batches, long_cuts, packed_row, row_key, text_buffers, written
+from .common import blocks, bound_batches, drop, long_cuts, packed_row, row_key, text_buffers, written
 from .components import connected_components
 
 #: Shingles are hashed in slices of so many, which bounds memory for very long texts.
@@ -134,6 +134,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     comp = connected_components(fingerprint_links(reps))
     nodes = reps.join(comp, reps.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     nodes = written(nodes, "nodes")
+    drop(reps, comp)
     least = written(nodes.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     return fps, nodes.join(least, "root").select("fp", "root", "component_id")
 
