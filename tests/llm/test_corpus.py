@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallykeep.llm import packing, sketch, warc
+from tallykeep.llm.common import drop, shared_dir, written
+from tallykeep.llm.components import connected_components
 from tallykeep.llm.embeddings import embedding_groups
 from tallykeep.llm.fm_index import FMIndex
 from tallykeep.llm.embeddings import EMBEDDINGS_SQL
@@ -572,8 +575,6 @@ def test_warc_foreign_headers():
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(49, i) for i in range(49)], [(i * i % 37 - 9, i * 7 % 41) for i in range(25)]])
 def test_components_against_brute_force(spark, edges):
-    from tallykeep.llm.components import connected_components
-
     least = {n: n for e in edges if e[0] != e[1] for n in e}
     for _ in least:
         for a, b in edges:
@@ -581,3 +582,34 @@ def test_components_against_brute_force(spark, edges):
                 least[a] = least[b] = min(least[a], least[b])
     got = sorted(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == sorted((n, c) for n, c in least.items() if n != c)
+
+
+def _tables(spark):
+    top = Path(shared_dir(spark).removeprefix("file:"))
+    return len(list(top.iterdir())) if top.exists() else 0
+
+
+def test_tables_that_nothing_reads_are_deleted(spark):
+    """Of all rounds only what the result reads stays, and the result can be read more than once."""
+    before = _tables(spark)
+    comp = connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert _tables(spark) == before + 1
+    for _ in range(2):
+        assert {tuple(r) for r in comp.collect()} == {(i, 0) for i in range(1, 41)}
+    drop(comp, None, spark.range(1))
+    assert _tables(spark) == before
+
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, text + " x" * (i % 3)) for i in range(12)] + [(99, "another text of six words")], "doc_id long, text string")
+    kept = keep_first_copies(docs, cell_texts=2)
+    assert _tables(spark) == before + 1  # which rows are kept
+    for _ in range(2):
+        assert sorted(r["doc_id"] for r in kept.collect()) == [0, 99]
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    had = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    t = written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "sevenths")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == had
+    assert t.count() == 7 and t.groupBy().sum("count").first()[0] == 100
+    drop(t)
