@@ -20,6 +20,8 @@ from ..functions import values as V
 
 #: How the connectors mark a column whose value they didn't send.
 UNAVAILABLE = ("__debezium_unavailable_value", "__toast_unchanged__")
+#: JSON texts that are decoded at once, which bounds what a Python worker holds.
+SLICE = 1000
 ANONYMOUS_TX = "__anonymous_tx__"
 RECORD_SCHEMA = V.EVENT_SCHEMA + ", record_kind string, expected_events long, column_types map<string,string>, lsn string, error string"
 _DDL = re.compile(r"\b(?:ALTER|CREATE|DROP|TRUNCATE)\s+TABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?(?:ONLY\s+)?([\w.\"`\[\]]+)", re.IGNORECASE)
@@ -236,8 +238,10 @@ def decode_records(lines: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield _rows(b["value"], b["seq"], b["stream_id"])
+        for batch in batches:
+            for lo in range(0, len(batch), SLICE):
+                b = batch.iloc[lo : lo + SLICE]
+                yield _rows(b["value"], b["seq"], b["stream_id"])
 
     return lines.select("stream_id", "seq", "value").mapInPandas(run, RECORD_SCHEMA)
 

@@ -7,10 +7,13 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.cdc import ANONYMOUS_TX, RECORD_SCHEMA
 
+#: Records that a Python worker turns into dictionaries at once.
+SLICE = 1000
 #: What comes out: released events in order, and the stream's own decisions (with decision and reason set).
 OUTPUT_SCHEMA = RECORD_SCHEMA + ", decision string, reason string, boundary string"
 
@@ -127,25 +130,43 @@ def _plain(v):
 
 
 def _records(pdf: pd.DataFrame) -> list[dict]:
-    return [{k: _plain(v) for k, v in r.items()} for r in pdf.sort_values("seq").to_dict("records")]
+    return [{k: _plain(v) for k, v in r.items()} for r in pdf.to_dict("records")]
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame([{k: r.get(k) for k in NAMES} for r in rows], columns=NAMES).astype(object).where(lambda d: d.notna(), None)
 
 
+def _frames(rows: list[dict]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of bounded size: a transaction may release any number at once."""
+    for lo in range(0, len(rows), SLICE):
+        yield _frame(rows[lo : lo + SLICE])
+
+
 def assemble(records: DataFrame, strict: bool = False) -> DataFrame:
-    """Released events and the stream's own decisions of a finite input, one state machine for each stream_id."""
+    """Released events and the stream's own decisions of a finite input, one state machine for each stream_id.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        machine, out, last = TransactionMachine(strict), [], None
-        for last in _records(pdf):
-            out += machine.step(last)
-        if last:
-            out += machine.finish(last)
-        return _frame(out)
+    Records come sorted by stream and seq and are worked on SLICE at a time, so beside the events of an open
+    transaction and the known columns nothing of a stream is held, however long it is.
+    """
 
-    return records.groupBy("stream_id").applyInPandas(run, OUTPUT_SCHEMA)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = last = None
+        for batch in batches:
+            for lo in range(0, len(batch), SLICE):
+                out = []
+                for r in _records(batch.iloc[lo : lo + SLICE]):
+                    if machine is None or r["stream_id"] != last["stream_id"]:
+                        out += machine.finish(last) if machine else []
+                        machine = TransactionMachine(strict)
+                    out += machine.step(r)
+                    last = r
+                yield from _frames(out)
+        if machine:
+            yield from _frames(machine.finish(last))
+
+    ordered = records.repartition("stream_id").sortWithinPartitions("stream_id", F.col("seq").asc_nulls_last())
+    return ordered.mapInPandas(run, OUTPUT_SCHEMA)
 
 
 def assemble_stream(records: DataFrame, strict: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ from tallykeep.plans.admission import parse_join_sql, parse_sql
 from tallykeep.plans.shapes import JoinClause, JoinShape, Predicate, QueryShape, cold_state
 from tallykeep.sources.cdc import decode, decode_pgoutput, decode_wal2json_v1, tag
 from tallykeep.streaming.retention import Budget, FrequencySketch
-from tallykeep.streaming.transactions import TransactionMachine, assemble_stream
+from tallykeep.streaming.transactions import TransactionMachine, assemble, assemble_stream
 from tallykeep.streaming.workloads import policy_sweep, run, shapes, snowflake_stream
 
 SHAPE = QueryShape("orders", "sum", "amount", ("region",), Predicate((("status", "=", "paid"),)), security_cols=frozenset(["tenant"]), name="s")
@@ -246,6 +246,34 @@ def test_transactions(spark):
     assert reasons(TransactionMachine(strict=True).step(rec("DATA", op="INSERT"))) == ["transaction_boundary_violation"]
 
 
+def test_assemble_holds_no_whole_stream(spark):
+    """Records pass in slices, not a stream at once; transactions, drift and streams go on across slices and batches."""
+    from tallykeep.sources.cdc import decode_records
+
+    one = lambda k, n, **x: json.dumps({"payload": {"op": "c", "after": {"a": k} | x, "source": {"table": "t"}, "transaction": {"id": str(n)}}})
+    mark = lambda status, n: json.dumps({"payload": {"status": status, "id": str(n)}})
+    lines = []
+    for stream, size in (("a", 1700), (None, 3), ("b", 40), ("c", 1)):
+        texts = []
+        for n in range(3):
+            texts += [mark("BEGIN", n), *(one(k, n, **({"z": 1} if n == 2 else {})) for k in range(size)), mark(("END", "ROLLBACK", "END")[n], n)]
+        lines += [(stream, i, t) for i, t in enumerate([*texts, mark("BEGIN", 9), one(0, 9)])]
+    random.Random(3).shuffle(lines)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1300)
+    try:
+        out = assemble(decode_records(spark.createDataFrame(lines, "stream_id string, seq long, value string")))
+        got = {}
+        for r in out.collect():
+            got.setdefault(r["stream_id"], []).append((r["reason"] or r["op"], r["new"] and r["new"]["a"]["v"]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for stream, size in (("a", 1700), (None, 3), ("b", 40), ("c", 1)):
+        rows = [("INSERT", str(k)) for k in range(size)]
+        assert got[stream] == [*rows, ("transaction_rollback", None), ("SCHEMA_CHANGE", None), *rows, ("uncommitted_transaction_discarded", None)]
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_streaming(spark, tmp_path):
     """The same decisions through Structured Streaming, over two files."""
     from tallykeep.sources.cdc import decode_records
