@@ -40,7 +40,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word Jaccard similarity of 0.8 or more.
+    """One document of each group of near copies: five-word Jaccard similarity of 0.8 or more, found by SimHash.
 
     The smallest id stays, rows without an id come last; texts without words are one group.
     """

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallykeep.llm import packing, sketch, warc
+from tallykeep.llm import near_copies, packing, sketch, warc
 from tallykeep.llm.common import drop, shared_dir, written
 from tallykeep.llm.components import connected_components
 from tallykeep.llm.embeddings import embedding_groups
@@ -427,6 +427,42 @@ def test_pipeline_drops_near_copies(spark, cell_texts):
     assert keep_first_copies(docs.limit(0)).isEmpty() and keep_representatives(docs).count() > len(set(place))
 
 
+def test_near_copies_come_from_simhash(spark, monkeypatch):
+    """Fingerprints are majorities of shingle bits, grid cells popcounts of segments, and the sweep finds every close pair by itself."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(9000)}" for _ in range(n)] for n in (9, 12, 30, 60, 61, 75, 200, 500) for _ in range(6)]
+    texts = base + [[*b[: len(b) // 2], f"x{i}", *b[len(b) // 2 + 1 :]] for i, b in enumerate(base)] + [[*b, "tail"] for b in base]
+    data = [" ".join(t).encode() for t in texts]
+    sets = list(near_copies.shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])))
+    fps = [near_copies.fingerprint(g) for g in sets]
+    for g, fp in zip(sets, fps):
+        hs = [[int(h) for h in near_copies.mix64(g * t)] for t in near_copies._TIMES]
+        assert [sum(1 << b for b in range(64) if sum(h >> b & 1 for h in w) * 2 > len(w)) for w in hs] == fp.view(np.uint64).tolist()
+    nodes = spark.createDataFrame([(i, i, len(g), fp.tolist()) for i, (g, fp) in enumerate(zip(sets, fps))], "node long, ord long, n long, fp array<long>")
+    pop = lambda x: tuple((x >> b & 3).bit_count() for b in range(0, 32, 2))
+    halves = [[pop(int(w) >> s & 0xFFFFFFFF) for w in fp.view(np.uint64) for s in (0, 32)] for fp in fps]
+    cells = {}
+    for r in near_copies._cells(nodes).collect():
+        cells.setdefault(r["key"], set()).add(r["node"])
+    by_hand = {}
+    for i, hs in enumerate(halves):
+        for k, h in enumerate(hs):
+            by_hand.setdefault((k, h), set()).add(i)
+    assert sorted(map(sorted, cells.values())) == sorted(map(sorted, by_hand.values()))
+    bits = lambda i, j: int(np.bitwise_count((fps[i] ^ fps[j]).view(np.uint64)).sum())
+    size = lambda i, j: sorted((len(sets[i]), len(sets[j])))
+    close = {(i, j) for i in range(len(sets)) for j in range(i) if bits(i, j) <= 128 and size(i, j)[0] >= 0.8 * size(i, j)[1]}
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if near_copies.jaccard(sets[i], sets[j]) >= 0.8}
+    assert {(r["b"], r["a"]) for r in near_copies._sweep(nodes, None, False).collect()} == close and near <= close and len(near) > 60
+
+    monkeypatch.setattr(near_copies, "_cells", lambda n: n.select("node", "ord", F.col("node").alias("key")))  # a grid that joins nothing
+    place = list(range(len(sets)))
+    while (new := [min([place[i], *(place[j] for p in near for j in p if i in p)]) for i in range(len(sets))]) != place:
+        place = new
+    kept = keep_first_copies(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(place))
+
+
 def test_lines_of_families_and_long_lines(spark):
     """Near copies make no line frequent; a long line goes at any frequency, short boilerplate that stands alone stays."""
     rng = random.Random(6)
