@@ -116,6 +116,16 @@ def is_empty(df: DataFrame) -> bool:
         return df.isEmpty()
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let the executors' JVMs return the heap that earlier work has left to them and doesn't use any more.
+
+    A heap grows with garbage and only shrinks after a full collection. An executor's memory is shared with its
+    Python workers, so over several operators in one session what each of them needed at its peak adds up.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Let Arrow batches hold at most so many rows and bytes, whatever the length of texts: it bounds what both the
     JVM and the Python workers hold at once. Smaller settings of the session stay."""

@@ -187,7 +187,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rar
     out = keyed.join(gone, ["id", "tkey"], "left")
     whole = F.col("row")[text]
     n_lines = F.size(F.filter(F.split(F.coalesce(whole, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    new = F.pandas_udf(_without_lines, "string")(whole, F.col("_gone"))
+    without = F.pandas_udf(_without_lines, "string").asNondeterministic()  # else a filter on the text runs it a second time
+    new = without(whole, F.col("_gone"))
     return out.select(
         *[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns],
         n_lines.cast("long").alias("n_lines"),

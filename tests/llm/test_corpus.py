@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallykeep.llm import near_copies, packing, sketch, warc
-from tallykeep.llm.common import drop, shared_dir, written
+from tallykeep.llm.common import drop, give_back, shared_dir, written
 from tallykeep.llm.components import connected_components
 from tallykeep.llm.embeddings import embedding_groups
 from tallykeep.llm.fm_index import FMIndex
@@ -463,6 +463,20 @@ def test_near_copies_come_from_simhash(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(place))
 
 
+def test_pipeline_stages_are_lean(spark):
+    """The line stage rewrites each text once, not again for its filter; a heap that is full of garbage shrinks."""
+    import corpus_pipeline as P
+
+    plan = P.lines_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: heap.totalMemory() - heap.freeMemory()
+    spark.range(2_000_000).selectExpr("sum(length(repeat(cast(id as string), 20)))").collect()
+    before = used()
+    give_back(spark)
+    assert used() < before
+
+
 def test_lines_of_families_and_long_lines(spark):
     """Near copies make no line frequent; a long line goes at any frequency, short boilerplate that stands alone stays."""
     rng = random.Random(6)
