@@ -126,43 +126,35 @@ def _links(cells: DataFrame, nodes: DataFrame, sets_of, cell_texts: int) -> Data
 
     Each text is first compared with one other, the first one of its cells that it shares most of them with; what
     that joins needs no further comparison. Then come the pairs of texts that aren't joined yet and whose
-    fingerprints are close: all of a small cell, and of a large one those with its first text. Of large cells,
-    texts that aren't joined to the first go on among themselves.
+    fingerprints are close: all of a small cell, and of a large one those with its first text. Other
+    pairs of large cells are left to the sweep.
     """
     comp = sets = None
     first = F.min(F.struct("ord", "node", "c")).alias("first")
-    while True:
-        for alone in (True, False):
-            known = _grouped(cells, comp)
-            stats = known.groupBy("key").agg(F.count("*").alias("n"), first).where("n > 1")
-            shared = written(known.join(stats, "key").select("key", "ord", "node", "c", "n", F.col("first.node").alias("leader"), F.col("first.c").alias("lc")), "shared")
-            if is_empty(shared):
-                drop(shared, sets, cells)
-                return comp
-            if sets is None:
-                sets = written(sets_of(shared.select("node").distinct()), "sets")
-            sign, head = nodes.select("node", F.col("fp").alias("sign")), nodes.select(F.col("node").alias("leader"), F.col("fp").alias("lsign"))
-            if alone:
-                often = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k"))
-                pairs = often.groupBy("node").agg(F.min(F.struct(-F.col("k"), "leader")).alias("m")).select(F.col("m.leader").alias("a"), F.col("node").alias("b"))
-            else:
-                signed_ = shared.where((F.col("n") <= cell_texts) | (F.col("c") != F.col("lc"))).join(sign, "node")
-                x, y = (signed_.where(F.col("n") <= cell_texts).select("key", F.col("node").alias(k), F.col("c").alias(f"c{k}"), F.col("sign").alias(f"s{k}")) for k in "ab")
-                apart = x.join(y, "key").where("a < b and ca <> cb").where(_close("sa", "sb")).select("a", "b")
-                far = signed_.where(F.col("n") > cell_texts).select("leader", "node", "sign").join(head, "leader").where(_close("sign", "lsign"))
-                pairs = apart.union(far.select(F.col("leader").alias("a"), F.col("node").alias("b")))
-            comp = _verified(pairs, sets, comp)
-            if alone:
-                drop(shared)
-        large = _grouped(shared.where(F.col("n") > cell_texts).select("key", "ord", "node"), comp)
-        heads = _grouped(shared.where((F.col("n") > cell_texts) & (F.col("node") == F.col("leader"))).select("key", "ord", "node"), comp)
-        left = large.join(heads.select("key", F.col("c").alias("lc")), "key").where("c <> lc").select("key", "ord", "node")
-        left = written(left, "cells")
-        drop(shared, cells)
-        if is_empty(left):
-            drop(left, sets)
+    for alone in (True, False):
+        known = _grouped(cells, comp)
+        stats = known.groupBy("key").agg(F.count("*").alias("n"), first).where("n > 1")
+        shared = written(known.join(stats, "key").select("key", "ord", "node", "c", "n", F.col("first.node").alias("leader"), F.col("first.c").alias("lc")), "shared")
+        if is_empty(shared):
+            drop(shared, sets)
             return comp
-        cells, cell_texts = left, cell_texts * 4
+        if sets is None:
+            sets = written(sets_of(shared.select("node").distinct()), "sets")
+        sign, head = nodes.select("node", F.col("fp").alias("sign")), nodes.select(F.col("node").alias("leader"), F.col("fp").alias("lsign"))
+        if alone:
+            often = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k"))
+            pairs = often.groupBy("node").agg(F.min(F.struct(-F.col("k"), "leader")).alias("m")).select(F.col("m.leader").alias("a"), F.col("node").alias("b"))
+        else:
+            signed_ = shared.where((F.col("n") <= cell_texts) | (F.col("c") != F.col("lc"))).join(sign, "node")
+            x, y = (signed_.where(F.col("n") <= cell_texts).select("key", F.col("node").alias(k), F.col("c").alias(f"c{k}"), F.col("sign").alias(f"s{k}")) for k in "ab")
+            apart = x.join(y, "key").where("a < b and ca <> cb").where(_close("sa", "sb")).select("a", "b")
+            far = signed_.where(F.col("n") > cell_texts).select("leader", "node", "sign").join(head, "leader").where(_close("sign", "lsign"))
+            pairs = apart.union(far.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+        comp = _verified(pairs, sets, comp)
+        if alone:
+            drop(shared)
+    drop(shared, sets)
+    return comp
 
 
 def _tile(node: np.ndarray, n: np.ndarray, c: np.ndarray, fp: np.ndarray, left: np.ndarray, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -256,9 +248,7 @@ def keep_first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     of 0.8 or more. Candidates are found by SimHash fingerprints of 512 bits as in operator 3: their embedding in
     popcounts of two-bit segments gives 16 grid cells; what shares one is held against the Manhattan bound and the
     exact distance, and then verified by the exact similarity. In a cell of more than cell_texts texts all are
-    compared with the first one; those that no link joins to it are compared among themselves, in turn, until a
-    cell (whose bound grows fourfold) is compared pair by pair. So no cell grows with the square of a group of
-    copies. At 0.8 bits differ too often for equal cells to find every pair, so a sweep follows: all pairs that
+    compared with the first one. So no cell grows with the square of a group of copies. At 0.8 bits differ too often for equal cells to find every pair, so a sweep follows: all pairs that
     aren't joined yet and whose set sizes allow 0.8 are held against the distance, and close ones verified.
     Its work grows with the square of the number of different texts, a nanosecond or so a pair.
 
