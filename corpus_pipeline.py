@@ -36,7 +36,6 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of equal texts the one with the smallest id stays whole; n_chars is counted anew.
     """
-    give_back(spark)
     out = dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 

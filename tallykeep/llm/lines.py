@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, drop, packed_row, row_key, text_buffers, tidy, written
+from .common import bound_batches, drop, give_back, packed_row, row_key, text_buffers, tidy, written
 
 #: Weight, in bits, that makes an overlap of shared lines: that of one line in a hundredth of all documents.
 RARE_BITS = math.log2(100)
@@ -153,6 +153,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rar
     hashes, byte for byte. An input column named like an added one is replaced.
     """
     bound_batches(docs.sparkSession)
+    give_back(docs.sparkSession)
     added = ["n_lines", "n_removed", "n_partners"]
     docs = docs.drop(*added)
     keyed = docs.select(packed_row(docs), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), row_key(F.col(text)).alias("tkey"))
@@ -180,13 +181,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rar
     texts = shared.dropDuplicates(["id", "tkey", "ordinal"]).groupBy("id", "tkey").agg(F.sort_array(F.collect_list(item)).alias("late"))
     texts = written(texts, "sequences")
     drop(shared)
+    give_back(docs.sparkSession)
     early = texts.select(F.col("id").alias("id0"), F.col("tkey").alias("tkey0"), F.col("late").alias("early"))
     both = pairs.join(texts, ["id", "tkey"]).join(early, ["id0", "tkey0"]).select("id", "tkey", "early", "late")
     gone = both.mapInArrow(_align, "id long, tkey long, gone array<int>").where("size(gone) > 0")
     gone = gone.groupBy("id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"), F.count("*").alias("n_partners"))
+    gone = written(gone, "gone")
+    drop(pairs, texts)
+    give_back(docs.sparkSession)  # what is left to do moves the texts
     out = keyed.join(gone, ["id", "tkey"], "left")
     whole = F.col("row")[text]
-    n_lines = F.size(F.filter(F.split(F.coalesce(whole, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    n_lines = F.regexp_count(F.coalesce(whole, F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*"))  # no string for each line
     without = F.pandas_udf(_without_lines, "string").asNondeterministic()  # else a filter on the text runs it a second time
     new = without(whole, F.col("_gone"))
     return out.select(

@@ -492,6 +492,18 @@ def test_lines_of_families_and_long_lines(spark):
     assert got[76] == 0 and all(got[i] == 1 for i in range(77, 136)) and all(got[i] == 0 for i in range(136, 196))
 
 
+def test_lines_give_back_the_heap(spark, docs):
+    """Heaps are collected before the lines, the alignment and the move of the texts; only the texts' join is left to run."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if re.search("Old|MarkSweep", b.getName()))
+    before = full()
+    out = dedup_lines(docs)
+    assert full() >= before + 3
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((len(t or ""), sum(bool(x.strip()) for x in (t or "").encode().split(b"\n"))) for (t,) in docs.select("text").collect())
+    assert sorted((r["n_chars"], r["n_lines"]) for r in out.collect()) == want
+
+
 def test_pipeline_rejects_unknown_languages(spark):
     """Texts in a language without labels go, clean ones stay, and a missing language is filled in."""
     import corpus_pipeline as P
