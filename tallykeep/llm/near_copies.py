@@ -21,6 +21,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 WORDS, MOST_BITS = 8, 128
 #: Bits that differ in the first two words, by which the sweep rules pairs out: above that with a chance below 1e-7.
 FIRST_WORDS, FIRST_BITS = 2, 48
+#: In sets of at most so many shingles bits differ oftener; two that share a cell are compared at any distance.
+FEW = 32
 #: Cells of at most so many texts are compared pair by pair.
 CELL_TEXTS = 16
 #: The sweep's classes of set sizes are a little wider than SIMILARITY allows, so only neighbours are compared; each is dealt to PARTS.
@@ -84,13 +86,19 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """The components comp (node, component) as joined by those of the pairs (a, b) that are near copies."""
-    pairs = written(pairs.distinct(), "pairs")
+def _verified(pairs: DataFrame, sets_of, comp: DataFrame | None) -> DataFrame | None:
+    """The components comp (node, component) as joined by those of the pairs (a, b), a table of written(), that are near copies.
+
+    Only texts of the pairs are made sets of: a set is about as large as its text.
+    """
+    if is_empty(pairs):
+        drop(pairs)
+        return comp
+    sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
     x, y = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
     found = pairs.join(x, "a").join(y, "b").select("a", "b", "ga", "gb").mapInArrow(_near, "a long, b long")
     found = written(found, "links")
-    drop(pairs)
+    drop(pairs, sets)
     if comp is not None and is_empty(found):
         drop(found)
         return comp
@@ -99,12 +107,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, comp: DataFrame | None) -> Data
     return joined
 
 
+def _sizes(x: str, y: str) -> Column:
+    """Whether two sets' sizes allow SIMILARITY; x and y are structs (n, fp)."""
+    n = [F.col(f"{c}.n") for c in (x, y)]
+    return F.least(*n) >= F.greatest(*n) * SIMILARITY - 1e-6
+
+
 def _close(x: str, y: str) -> Column:
-    """Whether two fingerprints leave it open that their sets are near: the Manhattan bound of their embeddings, then the exact distance."""
-    pairs = [(F.col(x)[i], F.col(y)[i]) for i in range(WORDS)]
+    """Whether two sketches (n, fp) leave it open that their sets are near: sizes, the Manhattan bound of the embeddings, the exact distance."""
+    pairs = [(F.col(f"{x}.fp")[i], F.col(f"{y}.fp")[i]) for i in range(WORDS)]
     bound = sum((manhattan(embedding(a), embedding(b)) for a, b in pairs[1:]), manhattan(embedding(pairs[0][0]), embedding(pairs[0][1])))
     bits = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in pairs[1:]), F.bit_count(pairs[0][0].bitwiseXOR(pairs[0][1])))
-    return (bound <= MOST_BITS) & (bits <= MOST_BITS)
+    return _sizes(x, y) & (bound <= MOST_BITS) & (bits <= MOST_BITS)
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
@@ -124,36 +138,37 @@ def _grouped(cells: DataFrame, comp: DataFrame | None) -> DataFrame:
 def _links(cells: DataFrame, nodes: DataFrame, sets_of, cell_texts: int) -> DataFrame | None:
     """Components (node, component) of near copies among texts that share cells (key, ord, node); none if no two do.
 
-    Each text is first compared with one other, the first one of its cells that it shares most of them with; what
-    that joins needs no further comparison. Then come the pairs of texts that aren't joined yet and whose
-    fingerprints are close: all of a small cell, and of a large one those with its first text. Other
-    pairs of large cells are left to the sweep.
+    Each text is first held against one other, the first one of its cells that it shares most of them with; what
+    that joins needs no further comparison. Then come the pairs of texts that aren't joined yet: all of a small
+    cell, and of a large one those with its first text. Other pairs of large cells are left to the sweep. Only
+    pairs whose fingerprints are close (or whose sets are small) are verified: the more texts there are, the more
+    share a cell by chance, in the end nearly all.
     """
-    comp = sets = None
+    comp = None
     first = F.min(F.struct("ord", "node", "c")).alias("first")
     for alone in (True, False):
         known = _grouped(cells, comp)
         stats = known.groupBy("key").agg(F.count("*").alias("n"), first).where("n > 1")
         shared = written(known.join(stats, "key").select("key", "ord", "node", "c", "n", F.col("first.node").alias("leader"), F.col("first.c").alias("lc")), "shared")
         if is_empty(shared):
-            drop(shared, sets)
+            drop(shared)
             return comp
-        if sets is None:
-            sets = written(sets_of(shared.select("node").distinct()), "sets")
-        sign, head = nodes.select("node", F.col("fp").alias("sign")), nodes.select(F.col("node").alias("leader"), F.col("fp").alias("lsign"))
+        sign, head = (nodes.select(F.col("node").alias(k), F.struct("n", "fp").alias(s)) for k, s in (("node", "sign"), ("leader", "lsign")))
         if alone:
             often = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k"))
-            pairs = often.groupBy("node").agg(F.min(F.struct(-F.col("k"), "leader")).alias("m")).select(F.col("m.leader").alias("a"), F.col("node").alias("b"))
+            most = often.groupBy("node").agg(F.min(F.struct(-F.col("k"), "leader")).alias("m")).select("node", "m.leader")
+            few = F.greatest("sign.n", "lsign.n") <= FEW
+            near = most.join(sign, "node").join(head, "leader").where(_close("sign", "lsign") | (few & _sizes("sign", "lsign")))
+            pairs = near.select(F.col("leader").alias("a"), F.col("node").alias("b"))
         else:
             signed_ = shared.where((F.col("n") <= cell_texts) | (F.col("c") != F.col("lc"))).join(sign, "node")
             x, y = (signed_.where(F.col("n") <= cell_texts).select("key", F.col("node").alias(k), F.col("c").alias(f"c{k}"), F.col("sign").alias(f"s{k}")) for k in "ab")
             apart = x.join(y, "key").where("a < b and ca <> cb").where(_close("sa", "sb")).select("a", "b")
             far = signed_.where(F.col("n") > cell_texts).select("leader", "node", "sign").join(head, "leader").where(_close("sign", "lsign"))
             pairs = apart.union(far.select(F.col("leader").alias("a"), F.col("node").alias("b")))
-        comp = _verified(pairs, sets, comp)
-        if alone:
-            drop(shared)
-    drop(shared, sets)
+        pairs = written(pairs.distinct(), "pairs")
+        drop(shared)
+        comp = _verified(pairs, sets_of, comp)
     return comp
 
 
@@ -235,9 +250,7 @@ def _swept(nodes: DataFrame, sets_of, comp: DataFrame | None) -> DataFrame | Non
         if is_empty(pairs):
             drop(pairs)
             return comp
-        sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
-        comp = _verified(pairs, sets, comp)
-        drop(pairs, sets)
+        comp = _verified(pairs, sets_of, comp)
     return comp
 
 

@@ -463,6 +463,30 @@ def test_near_copies_come_from_simhash(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(place))
 
 
+def test_near_copies_fetch_only_texts_that_may_be_near(spark, monkeypatch):
+    """Texts that share a grid cell by chance aren't made sets of, unless they are short."""
+    rng = random.Random(13)
+    prose = lambda k: [f"w{rng.randrange(9000)}" for _ in range(k)]
+    texts = [prose(100 + i) for i in range(40)] + [prose(12) for _ in range(3)]
+    texts += [[*texts[0], "tail"], [*texts[0][:50], "x", *texts[0][51:]], ["head", *texts[40]]]
+    asked, write = [], near_copies.written
+
+    def spy(df, name):
+        t = write(df, name)
+        asked.extend(r["node"] for r in t.select("node").collect()) if name == "sets" else None
+        return t
+
+    monkeypatch.setattr(near_copies, "written", spy)
+    monkeypatch.setattr(near_copies, "_cells", lambda n: n.select("node", "ord", F.lit(0).alias("key")))  # one cell holds all
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in keep_first_copies(docs).collect()) == list(range(43))
+    data = [" ".join(t).encode() for t in texts]
+    sets = near_copies.shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    node = [xxhash.xxh64_intdigest(g.tobytes()) for g in sets]
+    node = [x - 2**64 if x >= 2**63 else x for x in node]
+    assert {node[i] for i in (0, 40, 43, 44, 45)} <= set(asked) <= {node[i] for i in (0, 40, 41, 42, 43, 44, 45)}
+
+
 def test_pipeline_stages_are_lean(spark):
     """The line stage rewrites each text once, not again for its filter; a heap that is full of garbage shrinks."""
     import corpus_pipeline as P
