@@ -113,12 +113,20 @@ def _sizes(x: str, y: str) -> Column:
     return F.least(*n) >= F.greatest(*n) * SIMILARITY - 1e-6
 
 
+def _apart(x: str, y: str, distance) -> Column:
+    """The sum of distance over the words of two fingerprints; as a lambda, so that plans don't hold it once for each word."""
+    each = F.zip_with(f"{x}.fp", f"{y}.fp", lambda a, b: distance(a, b).cast("int"))
+    return F.aggregate(each, F.lit(0), lambda total, d: total + d)
+
+
+def _within(x: str, y: str) -> Column:
+    """Whether two sketches (n, fp) leave it open that their sets are near: their sizes, then the exact distance."""
+    return _sizes(x, y) & (_apart(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))) <= MOST_BITS)
+
+
 def _close(x: str, y: str) -> Column:
-    """Whether two sketches (n, fp) leave it open that their sets are near: sizes, the Manhattan bound of the embeddings, the exact distance."""
-    pairs = [(F.col(f"{x}.fp")[i], F.col(f"{y}.fp")[i]) for i in range(WORDS)]
-    bound = sum((manhattan(embedding(a), embedding(b)) for a, b in pairs[1:]), manhattan(embedding(pairs[0][0]), embedding(pairs[0][1])))
-    bits = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in pairs[1:]), F.bit_count(pairs[0][0].bitwiseXOR(pairs[0][1])))
-    return _sizes(x, y) & (bound <= MOST_BITS) & (bits <= MOST_BITS)
+    """The same with the Manhattan bound of the embeddings before the exact distance."""
+    return _sizes(x, y) & (_apart(x, y, lambda a, b: manhattan(embedding(a), embedding(b))) <= MOST_BITS) & _within(x, y)
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
@@ -158,7 +166,7 @@ def _links(cells: DataFrame, nodes: DataFrame, sets_of, cell_texts: int) -> Data
             often = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k"))
             most = often.groupBy("node").agg(F.min(F.struct(-F.col("k"), "leader")).alias("m")).select("node", "m.leader")
             few = F.greatest("sign.n", "lsign.n") <= FEW
-            near = most.join(sign, "node").join(head, "leader").where(_close("sign", "lsign") | (few & _sizes("sign", "lsign")))
+            near = most.join(sign, "node").join(head, "leader").where(_within("sign", "lsign") | (few & _sizes("sign", "lsign")))
             pairs = near.select(F.col("leader").alias("a"), F.col("node").alias("b"))
         else:
             signed_ = shared.where((F.col("n") <= cell_texts) | (F.col("c") != F.col("lc"))).join(sign, "node")
@@ -281,7 +289,8 @@ def keep_first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         whole = rows.join(one, F.expr("id <=> _id and tkey = _tkey")).select("node", "text").dropDuplicates(["node"])
         return whole.mapInArrow(_packed_sets, "node long, grams binary")
 
-    comp = _swept(nodes, sets_of, _links(_cells(ordered), nodes, sets_of, cell_texts))
+    comp = _links(_cells(ordered), nodes, sets_of, cell_texts)
+    comp = _swept(nodes, sets_of, comp)
     if comp is None:
         keep = nodes.select("first.id", "first.tkey")
     else:
